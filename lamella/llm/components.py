@@ -10,81 +10,82 @@ from pyspark.sql import functions as F
 from lamella.session import cut, drop
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Distributed union-find over ``edges`` (a, b); returns (node, root), root being the smallest node reachable.
+def components(links: DataFrame) -> DataFrame | None:
+    """Distributed union-find over ``links`` (a, b); (node, root), root being the smallest node reachable.
 
-    Each round hooks every node to its smallest neighbour, halves the paths of
-    that forest until they end at roots, and contracts the edges to roots. The
-    tables shrink from round to round; nothing but counts reaches the driver.
-    Nodes without an edge aren't returned.
+    Each round hooks every node to its smallest neighbour if that is smaller,
+    and moves both ends of each link to where they were hooked. Ends that meet
+    are done, so the links shrink from round to round; a star takes one round, a
+    chain a logarithmic number. Then all nodes follow their hooks. Nothing
+    reaches the driver but whether links are left. None without any link.
     """
-    edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found: DataFrame | None = None
+    first = edges = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    hooks = []
     while not edges.isEmpty():
-        parent = cut(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
-        while True:
-            up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = cut(parent.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
-            drop(parent)
-            parent = jumped
-            if parent.where("moved").isEmpty():
-                break
-        forest = parent.select("node", "root")
-        left, right = (forest.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-        mapped = edges.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).where("x <> y")
-        shorter = cut(mapped.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        if found is None:
-            merged = cut(forest)
-        else:
-            # A root of an earlier round may have been hooked in this one; nodes new to the forest were roots so far.
-            lower = found.select("node", F.col("root").alias("old")).join(forest.select(F.col("node").alias("old"), F.col("root").alias("new")), "old", "left").select("node", F.coalesce("new", "old").alias("root"))
-            merged = cut(lower.unionByName(forest))
-            drop(found)
-        found = merged
-        drop(parent, edges)
+        hook = cut(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
+        left, right = (hook.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+        moved = edges.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).where("x <> y")
+        shorter = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if hooks:
+            drop(edges)
+        hooks.append(hook)
         edges = shorter
-    if found is None:
-        return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    drop(edges)
-    roots = found.select(F.col("root").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return cut(found.unionByName(roots))
+    if not hooks:
+        return None
+    out = first.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root"))
+    for hook in hooks:
+        out = out.join(hook.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    out = cut(out)
+    drop(first, edges, *hooks)
+    return out
 
 
 def crowded(members: DataFrame) -> DataFrame:
-    """Rows (key, node, label) of buckets that hold two labels at least."""
-    keys = cut(members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
-    return cut(members.join(keys, "key"))
+    """Rows (key, node, label, n) of buckets that hold two labels at least; n counts a bucket's rows."""
+    held = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
+    keys = cut(held.where("lo < hi").select("key", "n"))
+    out = cut(members.join(keys, "key").select("key", "node", "label", "n"))
+    drop(keys)
+    return out
 
 
-def resolve(work: DataFrame, verify: Callable[[DataFrame], DataFrame], pivots: int = 8) -> DataFrame | None:
+def resolve(work: DataFrame, verify: Callable[[DataFrame], DataFrame], first: int = 8, later: int = 128, pivots: int = 64) -> DataFrame | None:
     """Components of the graph that links nodes of a common bucket which ``verify`` accepts.
 
-    ``work`` (key, node, label), made by ``crowded``, says which buckets a node
-    is in; ``verify`` keeps the pairs (a, b) that are links. Every two nodes of a
-    bucket are either verified or already connected through verified links, so
-    no link between components is lost, yet no group's pairs are listed: in each
-    round a bucket puts forward a few pivots, which are compared with those
-    members that are in another component, and then leave the bucket. Most large
-    groups fall into one component in the first round and need no more. Returns
-    (node, root), or None without any link.
+    ``work``, made by ``crowded``, says which buckets a node is in; ``verify``
+    keeps the pairs (a, b) that are links. Every two nodes of a bucket are either
+    verified or already connected through verified links, so no link between
+    components is lost. The members of a small bucket are compared at once, as
+    far as they are in different components. No larger bucket's pairs are
+    listed: in each turn it puts forward one pivot, later a few, which are
+    compared with the members in other components and then leave the bucket.
+    Large groups of near copies fall into one component in the first turn and
+    need no more. Returns (node, root), or None without any link.
     """
     links: DataFrame | None = None
     roots: DataFrame | None = None
     turn = 0
     while not work.isEmpty():
-        salt = F.lit(0) if turn == 0 else F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(pivots)).cast("int")
-        chosen = cut(work.groupBy("key", salt.alias("salt")).agg(F.min("node").alias("node")).select("key", "node"))
-        pivot = cut(work.join(chosen, ["key", "node"]).select("key", F.col("node").alias("p"), F.col("label").alias("plabel")).distinct())
-        pairs = work.join(pivot, "key").where("label <> plabel").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        new = cut(verify(pairs))
-        rest = work.join(chosen, ["key", "node"], "left_anti")
+        small = first if turn == 0 else later
+        few, many = work.where(F.col("n") <= small), work.where(F.col("n") > small)
+        other = few.select("key", F.col("node").alias("p"), F.col("label").alias("plabel"))
+        pairs = few.join(other, "key").where("label < plabel").select("node", "p")
+        rest = None
+        if not many.isEmpty():
+            salt = F.lit(0) if turn == 0 else F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(pivots)).cast("int")
+            chosen = cut(many.groupBy("key", salt.alias("salt")).agg(F.min("node").alias("node")).select("key", "node"))
+            pivot = cut(many.join(chosen, ["key", "node"]).select("key", F.col("node").alias("p"), F.col("label").alias("plabel")).distinct())
+            pairs = pairs.unionByName(many.join(pivot, "key").where("label <> plabel").select("node", "p"))
+            rest = many.join(chosen, ["key", "node"], "left_anti")
+        new = cut(verify(pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()))
         if not new.isEmpty():
-            links = new if links is None else cut(links.unionByName(new))
+            links = new if links is None else links.unionByName(new)
             roots = components(links)
+        if rest is None:
+            break
+        if roots is not None:
             named = roots.select("node", F.col("root").alias("named"))
-            rest = rest.join(named, "node", "left").select("key", "node", F.coalesce("named", "label").alias("label"))
-        later = crowded(rest)
-        drop(work, chosen, pivot)
-        work = later
+            rest = rest.select("key", "node", "label").join(named, "node", "left").select("key", "node", F.coalesce("named", "label").alias("label"))
+        work = crowded(rest)
         turn += 1
     return roots

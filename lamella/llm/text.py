@@ -134,6 +134,14 @@ def hash_windows(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out + U(k))
 
 
+def hash_windows_rows(rows: np.ndarray) -> np.ndarray:
+    """``hash_windows`` of each row of a matrix of word hashes."""
+    out = np.zeros(len(rows), np.uint64)
+    for j in range(rows.shape[1]):
+        out += rows[:, j] * _MIX[j]
+    return mix(out + U(rows.shape[1]))
+
+
 def shingles(raw: np.ndarray, offsets: np.ndarray, k: int, table: np.ndarray = BY_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of k-word shingles of each row, and bounds by row; fewer words make one shingle."""
     low = LOWER[raw]
