@@ -41,15 +41,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, few: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
+    ``few`` is for tables that are small beside the input, such as links: they
+    are written in no more parts than twice the cluster's cores, however many
+    shuffle partitions the session has.
+
     This cuts the lineage: a lost executor costs the tasks in flight, never the
     stages before the cut, and the planner gets the true size of the table.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/lamella-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    out = df.coalesce(2 * spark.sparkContext.defaultParallelism) if few else df
+    out.write.parquet(path)
     _WRITTEN[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._lamella_path = path

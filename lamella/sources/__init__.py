@@ -1 +1 @@
-
+"""Scans, decoders, sinks and the tables derived from the test data."""

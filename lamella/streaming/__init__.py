@@ -1 +1 @@
-
+"""Nothing here: every input of the voxel engine is a bounded file, and no operator has unbounded state."""
