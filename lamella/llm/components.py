@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -19,13 +20,13 @@ def components(links: DataFrame) -> DataFrame | None:
     chain a logarithmic number. Then all nodes follow their hooks. Nothing
     reaches the driver but whether links are left. None without any link.
     """
-    first = edges = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    first = edges = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), few=True)
     hooks = []
     while not edges.isEmpty():
-        hook = cut(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
+        hook = cut(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), few=True)
         left, right = (hook.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
         moved = edges.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).where("x <> y")
-        shorter = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        shorter = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), few=True)
         if hooks:
             drop(edges)
         hooks.append(hook)
@@ -35,49 +36,59 @@ def components(links: DataFrame) -> DataFrame | None:
     out = first.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root"))
     for hook in hooks:
         out = out.join(hook.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-    out = cut(out)
+    out = cut(out, few=True)
     drop(first, edges, *hooks)
     return out
 
 
+def far_apart(percent: int) -> int:
+    """Sketch bits in which two sets of this similarity differ at most, but for a chance of about 1 in 100,000."""
+    q = (1 + percent / 100) / 2
+    return math.ceil(64 * (1 - q) + 4.5 * math.sqrt(64 * q * (1 - q)))
+
+
 def crowded(members: DataFrame) -> DataFrame:
     """Rows (key, node, label, n) of buckets that hold two labels at least; n counts a bucket's rows."""
     held = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
     keys = cut(held.where("lo < hi").select("key", "n"))
-    out = cut(members.join(keys, "key").select("key", "node", "label", "n"))
+    out = cut(members.join(keys, "key"))
     drop(keys)
     return out
 
 
-def resolve(work: DataFrame, verify: Callable[[DataFrame], DataFrame], first: int = 8, later: int = 128, pivots: int = 64) -> DataFrame | None:
+def resolve(work: DataFrame, percent: int, verify: Callable[[DataFrame], DataFrame], first: int = 8, later: int = 128, pivots: int = 64) -> DataFrame | None:
     """Components of the graph that links nodes of a common bucket which ``verify`` accepts.
 
-    ``work``, made by ``crowded``, says which buckets a node is in; ``verify``
-    keeps the pairs (a, b) that are links. Every two nodes of a bucket are either
-    verified or already connected through verified links, so no link between
-    components is lost. The members of a small bucket are compared at once, as
-    far as they are in different components. No larger bucket's pairs are
-    listed: in each turn it puts forward one pivot, later a few, which are
-    compared with the members in other components and then leave the bucket.
-    Large groups of near copies fall into one component in the first turn and
-    need no more. Returns (node, root), or None without any link.
+    ``work``, made by ``crowded`` from (key, node, label, size, sketch), says
+    which buckets a node is in; ``verify`` keeps the pairs (a, b) that are links.
+    A pair whose sizes or sketches rule a similarity of ``percent`` / 100 out is
+    no candidate. Every other two nodes of a bucket are either verified or
+    already connected through verified links, so no link between components is
+    lost. The members of a small bucket are compared at once, as far as they are
+    in different components. No larger bucket's pairs are listed: in each turn
+    it puts forward one pivot, later a few, which are compared with the members
+    in other components and then leave the bucket. Large groups of near copies
+    fall into one component in the first turn and need no more. Returns (node,
+    root), or None without any link.
     """
     links: DataFrame | None = None
     roots: DataFrame | None = None
     turn = 0
+    fields = ["key", "node", "label", "size", "sketch"]
+    other = [F.col("key"), *[F.col(c).alias(f"p{c}") for c in fields[1:]]]
+    able = (100 * F.least("size", "psize") >= percent * F.greatest("size", "psize")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("psketch"))) <= far_apart(percent))
     while not work.isEmpty():
         small = first if turn == 0 else later
-        few, many = work.where(F.col("n") <= small), work.where(F.col("n") > small)
-        other = few.select("key", F.col("node").alias("p"), F.col("label").alias("plabel"))
-        pairs = few.join(other, "key").where("label < plabel").select("node", "p")
+        few, many = work.where(F.col("n") <= small).select(fields), work.where(F.col("n") > small).select(fields)
+        pairs = few.join(few.select(other), "key").where((F.col("label") < F.col("plabel")) & able).select("node", "pnode")
         rest = None
         if not many.isEmpty():
             salt = F.lit(0) if turn == 0 else F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(pivots)).cast("int")
-            chosen = cut(many.groupBy("key", salt.alias("salt")).agg(F.min("node").alias("node")).select("key", "node"))
-            pivot = cut(many.join(chosen, ["key", "node"]).select("key", F.col("node").alias("p"), F.col("label").alias("plabel")).distinct())
-            pairs = pairs.unionByName(many.join(pivot, "key").where("label <> plabel").select("node", "p"))
+            chosen = cut(many.groupBy("key", salt.alias("salt")).agg(F.min("node").alias("node")).select("key", "node"), few=True)
+            pivot = cut(many.join(chosen, ["key", "node"]).select(other).distinct(), few=True)
+            pairs = pairs.unionByName(many.join(pivot, "key").where((F.col("label") != F.col("plabel")) & able).select("node", "pnode"))
             rest = many.join(chosen, ["key", "node"], "left_anti")
-        new = cut(verify(pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()))
+        new = cut(verify(pairs.select(F.least("node", "pnode").alias("a"), F.greatest("node", "pnode").alias("b")).distinct()))
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             roots = components(links)
@@ -85,7 +96,9 @@ def resolve(work: DataFrame, verify: Callable[[DataFrame], DataFrame], first: in
             break
         if roots is not None:
             named = roots.select("node", F.col("root").alias("named"))
-            rest = rest.select("key", "node", "label").join(named, "node", "left").select("key", "node", F.coalesce("named", "label").alias("label"))
-        work = crowded(rest)
+            rest = rest.join(named, "node", "left").withColumn("label", F.coalesce("named", "label")).select(fields)
+        later_work = crowded(rest)
+        drop(work, chosen, pivot)
+        work = later_work
         turn += 1
     return roots

@@ -219,6 +219,38 @@ def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(first))], ["id", "mark_text", "n_words"])
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of ``docs``, with all their columns, that hold no window of the benchmark; without a join.
+
+    The benchmark is dealt into blocks of ``block_bytes`` as in ``contaminated``;
+    the rows that one block leaves are written and searched for the next.
+    """
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    parts = -(-size // block_bytes)
+    parts = 2 * parts if parts > 1 else 1
+    at = docs.columns.index(text_col)
+
+    def cleaned(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables, names = shared.value
+            for batch in batches:
+                raw, offsets = X.column_bytes(batch.column(at))
+                for i, j in X.blocks(offsets):
+                    n_hit = search(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tables, names)[1]
+                    yield batch.slice(i, j - i).filter(pa.array(n_hit == 0))
+
+        return run
+
+    for part in range(parts):
+        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).collect()
+        shared = docs.sparkSession.sparkContext.broadcast(compile_windows([tuple(r) for r in own], window))
+        docs = docs.mapInArrow(cleaned(shared), docs.schema)
+        if part + 1 < parts:
+            docs = cut(docs)
+    return docs
+
+
 ORACLE = r"""
 WITH item AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w

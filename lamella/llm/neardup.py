@@ -1,10 +1,10 @@
 """Near-duplicate documents by MinHash with tensored banding.
 
-A table key is a pair out of two small collections of sub-keys: with six
-sub-keys of two MinHashes on either side, 24 MinHashes give 36 tables of four
-MinHashes each, where separate tables would need 144. Two documents meet in a
+A table key is a pair out of two small collections of sub-keys: with eight
+sub-keys of three MinHashes on either side, 48 MinHashes give 64 tables of six
+MinHashes each, where separate tables would need 384. Two documents meet in a
 table if they agree in a sub-key of either side; at a similarity of 0.85 that
-happens with probability 0.999, at 0.8 with 0.995, per pair. Every candidate is
+happens with probability 0.999, at 0.8 with 0.994, per pair. Every candidate is
 verified on its full shingle set.
 """
 
@@ -23,7 +23,7 @@ from lamella.llm import text as X
 from lamella.llm.components import crowded, resolve
 from lamella.session import cut
 
-SIDE, DEPTH = 6, 2
+SIDE, DEPTH = 8, 3
 
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int, side: int, depth: int) -> Iterator[pa.RecordBatch]:
@@ -32,7 +32,7 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, side: int, depth: int) ->
         for i, j in X.blocks(offsets):
             values, bounds = X.distinct_by_row(*X.shingles(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k))
             one, two = X.set_ids(values, bounds)
-            mins = X.min_hashes(values, bounds, 2 * side * depth)
+            mins = X.min_hashes(values, bounds, max(64, 2 * side * depth))
             keys = [mins[depth * s] for s in range(2 * side)]
             for s in range(2 * side):
                 for d in range(1, depth):
@@ -40,8 +40,8 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, side: int, depth: int) ->
             sub = np.stack([X.mix(x + X.U(s)) for s, x in enumerate(keys)], axis=1)
             bounds_of = np.arange(0, (j - i) * side + 1, side)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), X.long_lists(np.ascontiguousarray(sub[:, :side]).ravel(), bounds_of), X.long_lists(np.ascontiguousarray(sub[:, side:]).ravel(), bounds_of)],
-                ["id", "n_shingles", "h1", "h2", "left", "right"],
+                [batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(X.sketches(mins).view(np.int64)), X.long_lists(np.ascontiguousarray(sub[:, :side]).ravel(), bounds_of), X.long_lists(np.ascontiguousarray(sub[:, side:]).ravel(), bounds_of)],
+                ["id", "n_shingles", "h1", "h2", "sketch", "left", "right"],
             )
 
 
@@ -78,7 +78,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     longs = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("left", longs), T.StructField("right", longs)])
+    schema = T.StructType([T.StructField("id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("sketch", T.LongType()), T.StructField("left", longs), T.StructField("right", longs)])
     signed = cut(rows.mapInArrow(partial(_signed, k=k, side=side, depth=depth), schema))
 
     # Equal sets are one class; its smallest id stands for it from here on.
@@ -86,13 +86,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(full.groupBy("h1", "h2").agg(F.min("id").alias("rep")))
     heads = full.join(classes.select("h1", "h2", F.col("rep").alias("id")), ["h1", "h2", "id"])
     crossed = F.flatten(F.transform("left", lambda x, i: F.transform("right", lambda y, j: F.xxhash64(x, y, i, j))))
-    work = crowded(heads.select(F.col("id").alias("node"), F.col("id").alias("label"), F.explode(crossed).alias("key")))
+    # Only ids are dealt to all tables; sizes and sketches join those that meet another.
+    met = crowded(heads.select(F.col("id").alias("node"), F.col("id").alias("label"), F.explode(crossed).alias("key")))
+    about = heads.select(F.col("id").alias("node"), F.col("n_shingles").alias("size"), "sketch")
+    nodes = cut(met.select("node").distinct().join(about, "node").groupBy("node").agg(F.min("size").alias("size"), F.min("sketch").alias("sketch")), few=True)
+    work = cut(met.join(nodes, "node"))
 
     # The sets of those that meet another anywhere.
-    nodes = cut(work.select(F.col("node").alias("id")).distinct())
-    texts = rows.join(nodes, "id").groupBy("id").agg(F.min("text").alias("text"))
+    texts = rows.join(nodes.select(F.col("node").alias("id")), "id").groupBy("id").agg(F.min("text").alias("text"))
     sets = cut(texts.mapInArrow(partial(_sets, k=k), T.StructType([T.StructField("id", kind), T.StructField("items", longs)])).select(F.col("id").alias("node"), "items"))
-    roots = resolve(work, lambda pairs: similar(pairs, sets, percent))
+    roots = resolve(work, percent, lambda pairs: similar(pairs, sets, percent))
 
     named = classes.withColumnRenamed("rep", "root")
     if roots is not None:

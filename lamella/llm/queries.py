@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import decontam, secrets, topk
+from lamella.llm import decontam, lines, secrets, topk, toxicity
+from lamella.llm.chat import repair_chats
 from lamella.llm.neardup import near_duplicates
 from lamella.llm.packing import pack_documents
 from lamella.llm.sharding import histogram_shards
@@ -33,6 +34,16 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(found)
 
 
+def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     placed = histogram_shards(docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")))), shards=40)
@@ -57,14 +68,21 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_chats(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_topk": op1_topk,
     "op2_secrets": op2_secrets,
+    "op3_linededup": op3_linededup,
+    "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
     "op6_urls": op6_urls,
     "op7_neardup": op7_neardup,
     "op8_decontam": op8_decontam,
     "op9_packing": op9_packing,
+    "op10_chat": op10_chat,
 }
 
 ORACLE_SQL: dict[str, str] = {

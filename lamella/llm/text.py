@@ -114,13 +114,29 @@ def find_words(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes, the same wherever the span lies."""
+def span_hasher(raw: np.ndarray):
+    """A function from starts and ends of spans to their 64-bit hashes, the same wherever a span lies."""
     up, down = powers(len(raw))
     sums = np.empty(len(raw) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return lambda starts, ends: mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return span_hasher(raw)(starts, ends)
+
+
+def hash_runs(codes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each k consecutive code points; shorter by k - 1."""
+    n = len(codes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = powers(len(codes))
+    sums = np.empty(len(codes) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(mix(codes.astype(np.uint64) + U(1)) * up[: len(codes)], out=sums[1:])
+    return mix((sums[k:] - sums[:-k]) * down[:n])
 
 
 def hash_windows(words: np.ndarray, k: int) -> np.ndarray:
@@ -182,6 +198,14 @@ def min_hashes(values: np.ndarray, bounds: np.ndarray, count: int, seed: int = 7
     return out
 
 
+def sketches(mins: np.ndarray) -> np.ndarray:
+    """One bit of each of 64 MinHashes; two sets of similarity s agree in a bit with probability (1 + s) / 2."""
+    out = np.zeros(mins.shape[1], np.uint64)
+    for i in range(64):
+        out |= ((mins[i].astype(np.uint64) >> U(13)) & U(1)) << U(i)
+    return out
+
+
 def set_ids(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits that name each row's set of distinct values."""
     full = np.flatnonzero(np.diff(bounds) > 0)
