@@ -110,12 +110,12 @@ def test_separable_slice_equals_general(spark):
 def test_clips_share_the_volume(spark):
     volume = np.random.default_rng(9).random((5, 5, 5)).astype(np.float32) + 0.1
     df = frame(spark, {1: volume})
-    view = lambda m: explorer.View(0.0, 90.0, 0.0, m)
+    view = lambda m: explorer.View(0.0, 0.0, 0.0, m)
     above, below, every = (dense(explorer.clipped(df, view(m), (2.0, 2.0, 2.0)), volume.shape) for m in (HIDE_ABOVE, HIDE_BELOW, SHOW_ALL))
     assert np.array_equal(every, volume)
     both = (above > 0).astype(int) + (below > 0)
-    assert (both[2] == 2).all() and (both.sum() == 125 + 25)
-    assert not above[3:].any() and not below[:2].any()
+    assert (both[..., 2] == 2).all() and (both.sum() == 125 + 25)
+    assert not above[..., 3:].any() and not below[..., :2].any()
 
 
 def test_mesh_counts_and_empty(spark):
