@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 _WRITTEN: dict[str, SparkSession] = {}
@@ -69,6 +71,21 @@ def drop(*tables: DataFrame) -> None:
             _remove(path, _WRITTEN.pop(path))
 
 
+#: Rows of a side that is broadcast, at most; a larger one is shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, a narrow table, for broadcast if it has been counted to be small, else as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished plans, which Spark keeps until the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remove(path: str, spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc._jsc is None:
