@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamella.session import cut, drop
+from lamella.session import bounded, cut, drop, release
 
 
 def components(links: DataFrame) -> DataFrame | None:
@@ -41,64 +41,90 @@ def components(links: DataFrame) -> DataFrame | None:
     return out
 
 
-def far_apart(percent: int) -> int:
-    """Sketch bits in which two sets of this similarity differ at most, but for a chance of about 1 in 100,000."""
+def far_apart(percent: int, bits: int) -> int:
+    """Sketch bits in which two sets of this similarity differ at most, but for a chance of 1 in 30,000."""
     q = (1 + percent / 100) / 2
-    return math.ceil(64 * (1 - q) + 4.5 * math.sqrt(64 * q * (1 - q)))
+    return math.ceil(bits * (1 - q) + 4 * math.sqrt(bits * q * (1 - q)))
+
+
+def meeting(dealt: DataFrame) -> DataFrame:
+    """Rows (key, node, ...) of keys that were dealt more than one row.
+
+    Most keys were dealt a single one, so all rows are shuffled as a key and a
+    count alone, and a second time only if the keys left are many.
+    """
+    keys = cut(dealt.groupBy("key").count().where("count > 1").select("key"))
+    out = cut(dealt.join(bounded(keys), "key", "left_semi"))
+    drop(keys)
+    release(dealt.sparkSession)
+    return out
 
 
 def crowded(members: DataFrame) -> DataFrame:
-    """Rows (key, node, label, n) of buckets that hold two labels at least; n counts a bucket's rows."""
+    """Rows of buckets (key) that hold two labels at least, with lo, their smallest label, and n, their number of rows."""
     held = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
-    keys = cut(held.where("lo < hi").select("key", "n"))
+    keys = cut(held.where("lo < hi").select("key", "lo", "n"))
     out = cut(members.join(keys, "key"))
     drop(keys)
     return out
 
 
-def resolve(work: DataFrame, percent: int, verify: Callable[[DataFrame], DataFrame], first: int = 8, later: int = 128, pivots: int = 64) -> DataFrame | None:
+def resolve(work: DataFrame, percent: int, verify: Callable[[DataFrame], DataFrame], words: int = 0, meet: Callable[[Column, Column], Column] | None = None, small: int = 8, pivots: int = 4096) -> DataFrame | None:
     """Components of the graph that links nodes of a common bucket which ``verify`` accepts.
 
-    ``work``, made by ``crowded`` from (key, node, label, size, sketch), says
-    which buckets a node is in; ``verify`` keeps the pairs (a, b) that are links.
-    A pair whose sizes or sketches rule a similarity of ``percent`` / 100 out is
-    no candidate. Every other two nodes of a bucket are either verified or
-    already connected through verified links, so no link between components is
-    lost. The members of a small bucket are compared at once, as far as they are
-    in different components. No larger bucket's pairs are listed: in each turn
-    it puts forward one pivot, later a few, which are compared with the members
-    in other components and then leave the bucket. Large groups of near copies
-    fall into one component in the first turn and need no more. Returns (node,
-    root), or None without any link.
+    ``work`` is made by ``crowded`` from (key, node, label, about), about being
+    a struct of size, ``words`` sketch words s0, s1, ... and whatever ``meet``
+    needs. It says which buckets a node is in; ``verify`` keeps the pairs (a, b)
+    that are links. A pair whose sizes or sketches rule a similarity of
+    ``percent`` / 100 out is no candidate, and of several buckets that two nodes
+    share only that in which ``meet`` of their abouts holds makes them one.
+
+    Every other two nodes of a bucket are either verified or already connected
+    through verified links, so no link between components is lost. The members
+    of a small bucket are compared at once. No larger bucket's pairs are listed:
+    its smallest node is compared with all others, which draws groups of near
+    copies into one component; then those members that are in other components
+    than the smallest are pivots, ``pivots`` a turn at most, and are compared
+    with the members of yet other components. Returns (node, root), or None
+    without any link.
     """
-    links: DataFrame | None = None
-    roots: DataFrame | None = None
+    near = 100 * F.least("about.size", "pabout.size") >= percent * F.greatest("about.size", "pabout.size")
+    if words:
+        differ = [F.bit_count(F.col(f"about.s{i}").bitwiseXOR(F.col(f"pabout.s{i}"))) for i in range(words)]
+        near = near & (sum(differ[1:], differ[0]) <= far_apart(percent, 64 * words))
+    if meet is not None:
+        near = near & meet(F.col("about"), F.col("pabout"))
+    mine = [F.col("key"), F.col("node"), F.col("label"), F.col("about")]
+    other = [F.col("key"), F.col("node").alias("pnode"), F.col("label").alias("plabel"), F.col("about").alias("pabout")]
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return cut(verify(pairs.select(F.least("node", "pnode").alias("a"), F.greatest("node", "pnode").alias("b")).distinct()))
+
+    if work.isEmpty():
+        return None
+    few, many = work.where(F.col("n") <= small), work.where(F.col("n") > small)
+    pairs = few.select(mine).join(few.select(other), "key").where((F.col("label") < F.col("plabel")) & near)
+    heads = many.where("node = lo").select(other).dropDuplicates(["key"])
+    links = linked(pairs.unionByName(many.where("node <> lo").select(mine).join(heads, "key").where(near)))
+    roots = components(links)
     turn = 0
-    fields = ["key", "node", "label", "size", "sketch"]
-    other = [F.col("key"), *[F.col(c).alias(f"p{c}") for c in fields[1:]]]
-    able = (100 * F.least("size", "psize") >= percent * F.greatest("size", "psize")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("psketch"))) <= far_apart(percent))
-    while not work.isEmpty():
-        small = first if turn == 0 else later
-        few, many = work.where(F.col("n") <= small).select(fields), work.where(F.col("n") > small).select(fields)
-        pairs = few.join(few.select(other), "key").where((F.col("label") < F.col("plabel")) & able).select("node", "pnode")
-        rest = None
-        if not many.isEmpty():
-            salt = F.lit(0) if turn == 0 else F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(pivots)).cast("int")
-            chosen = cut(many.groupBy("key", salt.alias("salt")).agg(F.min("node").alias("node")).select("key", "node"), few=True)
-            pivot = cut(many.join(chosen, ["key", "node"]).select(other).distinct(), few=True)
-            pairs = pairs.unionByName(many.join(pivot, "key").where((F.col("label") != F.col("plabel")) & able).select("node", "pnode"))
-            rest = many.join(chosen, ["key", "node"], "left_anti")
-        new = cut(verify(pairs.select(F.least("node", "pnode").alias("a"), F.greatest("node", "pnode").alias("b")).distinct()))
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            roots = components(links)
-        if rest is None:
-            break
+    rest = many.where("node <> lo").select(mine)
+    while True:
         if roots is not None:
             named = roots.select("node", F.col("root").alias("named"))
-            rest = rest.join(named, "node", "left").withColumn("label", F.coalesce("named", "label")).select(fields)
-        later_work = crowded(rest)
-        drop(work, chosen, pivot)
-        work = later_work
+            rest = rest.join(named, "node", "left").withColumn("label", F.coalesce("named", "label")).select(mine)
+        work = crowded(rest)
+        if work.isEmpty():
+            return roots
         turn += 1
-    return roots
+        # All of them, unless the bucket is so large that they take several turns.
+        picked = (F.col("label") != F.col("lo")) & (F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / pivots)) == 0)
+        both = work.select(*mine, picked.alias("picked"))
+        pairs = both.join(work.where(picked).select(other), "key").where((F.col("label") != F.col("plabel")) & (~F.col("picked") | (F.col("node") < F.col("pnode"))) & near)
+        new = linked(pairs)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            roots = components(links)
+        if work.where(F.col("n") > pivots).isEmpty():
+            return roots
+        rest = both.where("not picked").select(mine)

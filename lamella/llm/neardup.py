@@ -15,15 +15,17 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamella.llm import text as X
-from lamella.llm.components import crowded, resolve
-from lamella.session import cut
+from lamella.llm.components import crowded, meeting, resolve
+from lamella.session import bounded, cut
 
 SIDE, DEPTH = 8, 3
+#: Sketch words of 64 bits, each bit of another MinHash.
+WORDS = 8
 
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int, side: int, depth: int) -> Iterator[pa.RecordBatch]:
@@ -32,7 +34,7 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, side: int, depth: int) ->
         for i, j in X.blocks(offsets):
             values, bounds = X.distinct_by_row(*X.shingles(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k))
             one, two = X.set_ids(values, bounds)
-            mins = X.min_hashes(values, bounds, max(64, 2 * side * depth))
+            mins = X.min_hashes(values, bounds, max(64 * WORDS, 2 * side * depth))
             keys = [mins[depth * s] for s in range(2 * side)]
             for s in range(2 * side):
                 for d in range(1, depth):
@@ -40,8 +42,8 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, side: int, depth: int) ->
             sub = np.stack([X.mix(x + X.U(s)) for s, x in enumerate(keys)], axis=1)
             bounds_of = np.arange(0, (j - i) * side + 1, side)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(X.sketches(mins).view(np.int64)), X.long_lists(np.ascontiguousarray(sub[:, :side]).ravel(), bounds_of), X.long_lists(np.ascontiguousarray(sub[:, side:]).ravel(), bounds_of)],
-                ["id", "n_shingles", "h1", "h2", "sketch", "left", "right"],
+                [batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *[pa.array(w.view(np.int64)) for w in X.sketches(mins)[:WORDS]], X.long_lists(np.ascontiguousarray(sub[:, :side]).ravel(), bounds_of), X.long_lists(np.ascontiguousarray(sub[:, side:]).ravel(), bounds_of)],
+                ["id", "n_shingles", "h1", "h2", *[f"s{w}" for w in range(WORDS)], "left", "right"],
             )
 
 
@@ -78,7 +80,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     longs = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("sketch", T.LongType()), T.StructField("left", longs), T.StructField("right", longs)])
+    schema = T.StructType([T.StructField("id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), *[T.StructField(f"s{w}", T.LongType()) for w in range(WORDS)], T.StructField("left", longs), T.StructField("right", longs)])
     signed = cut(rows.mapInArrow(partial(_signed, k=k, side=side, depth=depth), schema))
 
     # Equal sets are one class; its smallest id stands for it from here on.
@@ -86,16 +88,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(full.groupBy("h1", "h2").agg(F.min("id").alias("rep")))
     heads = full.join(classes.select("h1", "h2", F.col("rep").alias("id")), ["h1", "h2", "id"])
     crossed = F.flatten(F.transform("left", lambda x, i: F.transform("right", lambda y, j: F.xxhash64(x, y, i, j))))
-    # Only ids are dealt to all tables; sizes and sketches join those that meet another.
-    met = crowded(heads.select(F.col("id").alias("node"), F.col("id").alias("label"), F.explode(crossed).alias("key")))
-    about = heads.select(F.col("id").alias("node"), F.col("n_shingles").alias("size"), "sketch")
-    nodes = cut(met.select("node").distinct().join(about, "node").groupBy("node").agg(F.min("size").alias("size"), F.min("sketch").alias("sketch")), few=True)
-    work = cut(met.join(nodes, "node"))
+    # Only ids are dealt to all tables; sizes, sketches and sub-keys join those that meet another.
+    met = meeting(heads.select(F.col("id").alias("node"), F.posexplode(crossed).alias("table", "key")))
+    about = F.struct(F.col("n_shingles").alias("size"), *[F.col(f"s{w}") for w in range(WORDS)], "left", "right")
+    nodes = cut(heads.select(F.col("id").alias("node"), about.alias("about")).join(met.select("node").distinct(), "node").dropDuplicates(["node"]), few=True)
+    work = crowded(met.join(nodes, "node").select("key", "node", F.col("node").alias("label"), F.col("about").withField("at", F.col("table")).alias("about")))
 
     # The sets of those that meet another anywhere.
-    texts = rows.join(nodes.select(F.col("node").alias("id")), "id").groupBy("id").agg(F.min("text").alias("text"))
+    texts = rows.join(bounded(nodes.select(F.col("node").alias("id"))), "id").groupBy("id").agg(F.min("text").alias("text"))
     sets = cut(texts.mapInArrow(partial(_sets, k=k), T.StructType([T.StructField("id", kind), T.StructField("items", longs)])).select(F.col("id").alias("node"), "items"))
-    roots = resolve(work, percent, lambda pairs: similar(pairs, sets, percent))
+
+    def first_meeting(a: Column, b: Column) -> Column:
+        """Whether this table is the first in which the two meet, by left and then by right sub-key."""
+        same = lambda part: F.array_position(F.zip_with(a[part], b[part], lambda x, y: x == y), True) - 1
+        return same("left") * side + same("right") == a["at"]
+
+    roots = resolve(work, percent, lambda pairs: similar(pairs, sets, percent), WORDS, first_meeting)
 
     named = classes.withColumnRenamed("rep", "root")
     if roots is not None:

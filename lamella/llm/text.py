@@ -198,11 +198,11 @@ def min_hashes(values: np.ndarray, bounds: np.ndarray, count: int, seed: int = 7
     return out
 
 
-def sketches(mins: np.ndarray) -> np.ndarray:
-    """One bit of each of 64 MinHashes; two sets of similarity s agree in a bit with probability (1 + s) / 2."""
-    out = np.zeros(mins.shape[1], np.uint64)
-    for i in range(64):
-        out |= ((mins[i].astype(np.uint64) >> U(13)) & U(1)) << U(i)
+def sketches(mins: np.ndarray) -> list[np.ndarray]:
+    """A bit of each MinHash, 64 to a word; two sets of similarity s agree in a bit with probability (1 + s) / 2."""
+    out = [np.zeros(mins.shape[1], np.uint64) for _ in range(len(mins) // 64)]
+    for i, row in enumerate(mins[: 64 * len(out)]):
+        out[i // 64] |= ((row.astype(np.uint64) >> U(13)) & U(1)) << U(i % 64)
     return out
 
 

@@ -74,6 +74,6 @@ def test_no_link_of_a_crowded_bucket_is_lost(spark):
     n = 90
     links = {(a, b) for a in range(n) for b in range(a + 1, n) if a % 9 == b % 9 and b - a <= 18}
     truth = spark.createDataFrame(sorted(links), "a long, b long")
-    members = spark.createDataFrame([(1, i, i, 50, 0) for i in range(n)], "key long, node long, label long, size long, sketch long")
-    roots = resolve(crowded(members), 80, lambda pairs: pairs.join(truth, ["a", "b"]), first=4, later=8, pivots=4)
+    members = spark.createDataFrame([(1, i, i, (50,)) for i in range(n)], "key long, node long, label long, about struct<size:long>")
+    roots = resolve(crowded(members), 80, lambda pairs: pairs.join(truth, ["a", "b"]), small=4, pivots=4)
     assert {(r.node, r.root) for r in roots.collect()} == {(i, i % 9) for i in range(n)}
