@@ -14,25 +14,23 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamella.llm import text as X
-from lamella.llm.components import crowded, resolve
-from lamella.llm.neardup import similar
-from lamella.session import cut
+from lamella.llm.components import crowded, meeting, resolve
+from lamella.session import bounded, cut, release
 
 #: Code points of a shingle, bands, MinHashes of a band. At a similarity of 0.8 a pair meets with probability 0.995.
 SHINGLE, BANDS, DEPTH = 8, 10, 4
+#: Sketch words of 64 bits, each bit of another MinHash.
+WORDS = 1
 #: Shorter lines carry too few shingles to tell a copy from chance; they stay.
 LEAST = 24
-#: Rows of a side that is broadcast, at most; a larger one is shuffled.
-BROADCAST_ROWS = 1_000_000
-
 _RNG = np.random.default_rng(77)
-_A = _RNG.integers(1, 2**31, 64, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _RNG.integers(0, 2**31, 64, dtype=np.uint32)
+_A = _RNG.integers(1, 2**31, 64 * WORDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _RNG.integers(0, 2**31, 64 * WORDS, dtype=np.uint32)
 
 
 def _lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,11 +110,11 @@ def _signed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
             order = step[np.arange(len(values)) - np.repeat(bounds[:-1], np.diff(bounds))]
             h1, h2 = (np.add.reduceat(X.mix(values ^ order ^ X.U(salt)), bounds[:-1]) for salt in (3, 12345678901))
             at = pa.array(rows[own] + i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(place[own]), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.diff(bounds)), pa.array(X.sketches(mins).view(np.int64)), X.long_lists(bands.ravel(), np.arange(0, len(own) * BANDS + 1, BANDS))], ["id", "mark", "place", "h1", "h2", "size", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(place[own]), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.diff(bounds)), *[pa.array(w.view(np.int64)) for w in X.sketches(mins)], X.long_lists(bands.ravel(), np.arange(0, len(own) * BANDS + 1, BANDS))], ["id", "mark", "place", "h1", "h2", "size", *[f"s{w}" for w in range(WORDS)], "bands"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Sets of the lines asked for: columns id, text, places and nodes."""
+def _texts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The lines asked for, without blanks and in lower case: columns id, text, places and nodes."""
     for batch in batches:
         raw_all, offsets_all = X.column_bytes(batch.column(1))
         places, nodes = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -124,16 +122,38 @@ def _sets(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
             raw, offsets = raw_all[offsets_all[i] : offsets_all[j]], offsets_all[i : j + 1] - offsets_all[i]
             low, rows, place, starts, ends, own = _long_lines(raw, offsets, least)
             wanted = {(r - i, p): n for r in range(i, j) for p, n in zip(places[r], nodes[r])}
-            names = [wanted.get((r, p)) for r, p in zip(rows[own].tolist(), place[own].tolist())]
-            own = own[[n is not None for n in names]] if len(own) else own
-            if len(own):
-                values, bounds = X.distinct_by_row(*_shingled(low, starts[own], ends[own]))
-                yield pa.RecordBatch.from_arrays([pa.array([n for n in names if n is not None], pa.int64()), X.long_lists(values, bounds)], ["node", "items"])
+            found = [(n, k) for k, r, p in zip(own.tolist(), rows[own].tolist(), place[own].tolist()) if (n := wanted.get((r, p))) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([low[starts[k] : ends[k]].tobytes().decode("utf-32-le") for _, k in found], pa.string())], ["node", "line"])
+
+
+def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a string column, and bounds by row."""
+    raw, offsets = X.column_bytes(column)
+    before = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    return np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32), before[offsets]
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """``df`` for broadcast if it has been counted to be small, else as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of lines (la, lb) whose sets of shingles are similar enough."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1024):
+            part, sets = batch.slice(i, 1024), []
+            for column in (2, 3):
+                codes, bounds = _codes(part.column(column))
+                values, at = _shingled(codes, bounds[:-1], bounds[1:])
+                sets.append([np.unique(values[x:z]) for x, z in zip(at[:-1], at[1:])])
+            keep = []
+            for one, two in zip(*sets):
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(100 * common >= percent * (len(one) + len(two) - common))
+            yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
+def _similar_lines(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Pairs are joined with the lines themselves, which are far smaller than their sets."""
+    left, right = (lines.select(F.col("node").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb")
+    return both.mapInArrow(partial(_verified, percent=percent), "a long, b long")
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -158,25 +178,30 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType
     rows = _marked(docs, id_col, text_col).where("id is not null and text is not null")
     long_, longs = T.LongType(), T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("id", kind), *[T.StructField(c, long_) for c in ("mark", "place", "h1", "h2", "size", "sketch")], T.StructField("bands", longs)])
+    schema = T.StructType([T.StructField("id", kind), *[T.StructField(c, long_) for c in ("mark", "place", "h1", "h2", "size", *[f"s{w}" for w in range(WORDS)])], T.StructField("bands", longs)])
     signed = cut(rows.select("id", "text", "mark").mapInArrow(partial(_signed, least=least), schema))
 
     # Equal lines are a class; (id, mark, place) orders its lines.
     here = ["id", "mark", "place"]
-    classes = cut(signed.groupBy("h1", "h2").agg(F.min(F.struct(*here)).alias("first")))
-    heads = signed.join(classes.select("h1", "h2", "first.*"), ["h1", "h2", *here])
-    # Only names are dealt to all bands; lengths and sketches join those that meet another.
-    met = crowded(heads.select(F.col("h1").alias("node"), F.col("h1").alias("label"), F.explode("bands").alias("key")))
-    about = heads.select(F.col("h1").alias("node"), "size", "sketch")
-    nodes = cut(met.select("node").distinct().join(about, "node").groupBy("node").agg(F.min("size").alias("size"), F.min("sketch").alias("sketch")), few=True)
-    work = cut(met.join(nodes, "node"))
+    about = F.struct("size", *[F.col(f"s{w}") for w in range(WORDS)], "bands")
+    classes = cut(signed.groupBy("h1", "h2").agg(F.min(F.struct(*here)).alias("first"), F.first(about).alias("about")))
+    release(docs.sparkSession)
+    # Only names are dealt to all bands; lengths, sketches and bands join those that meet another.
+    met = meeting(classes.select(F.col("h1").alias("node"), F.posexplode("about.bands").alias("band", "key")))
+    nodes = cut(classes.select(F.col("h1").alias("node"), "about").join(met.select("node").distinct(), "node").dropDuplicates(["node"]), few=True)
+    work = crowded(met.join(nodes, "node").select("key", "node", F.col("node").alias("label"), F.col("about").withField("at", F.col("band")).alias("about")))
+    classes = classes.drop("about")
 
     asked = classes.join(nodes.select(F.col("node").alias("h1")), "h1").select("first.*", F.col("h1").alias("node"))
     asked = cut(asked.groupBy("id", "mark").agg(F.collect_list("place").alias("places"), F.collect_list("node").alias("nodes")))
-    texts = rows.dropDuplicates(["id", "mark"]) if asked.count() > BROADCAST_ROWS else rows
-    texts = texts.join(_bounded(asked), ["id", "mark"]).select("id", "text", "places", "nodes")
-    sets = cut(texts.mapInArrow(partial(_sets, least=least), T.StructType([T.StructField("node", long_), T.StructField("items", longs)])))
-    roots = resolve(work, percent, lambda pairs: similar(pairs, sets, percent))
+    texts = rows.join(bounded(asked), ["id", "mark"]).select("id", "text", "places", "nodes")
+    # Rows that repeat an id and text give a line more than once, of which one is enough.
+    known = cut(texts.mapInArrow(partial(_texts, least=least), "node long, line string").groupBy("node").agg(F.min("line").alias("line")))
+
+    def first_meeting(a: Column, b: Column) -> Column:
+        return F.array_position(F.zip_with(a["bands"], b["bands"], lambda x, y: x == y), True) - 1 == a["at"]
+
+    roots = resolve(work, percent, lambda pairs: _similar_lines(pairs, known, percent), WORDS, first_meeting)
 
     named = classes
     if roots is not None:
@@ -208,7 +233,7 @@ def drop_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_co
     """``docs`` with all their columns, the text without the lines in ``gone`` (id, mark, places)."""
     gone = gone.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("places").alias("__places"))
     same = (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__mark"))
-    joined = docs.join(_bounded(gone), same, "left")
+    joined = docs.join(bounded(gone), same, "left")
     others = [c for c in docs.columns if c != text_col]
     schema = T.StructType([T.StructField("__text", T.StringType()), *[docs.schema[c] for c in others]])
     out = joined.select(F.col(text_col), "__places", *others).mapInArrow(_rebuilt, schema)
