@@ -67,8 +67,8 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float) -> list[tuple[int
         place = F.lit(None).cast("long")
         for n, cell in enumerate(cells):
             width = (cell.hi - cell.lo) // per + 1
-            key = k1 if cell.first is None else k2
-            place = F.when(cell.holds(k1, k2), F.lit(n * per) + F.floor((key - F.lit(cell.lo)) / F.lit(width)) if width > 2**52 else F.lit(n * per) + F.expr(f"({'k1' if cell.first is None else 'k2'} - {cell.lo}L) div {width}L")).otherwise(place)
+            key = "k1" if cell.first is None else "k2"
+            place = F.when(cell.holds(k1, k2), F.lit(n * per) + F.expr(f"({key} - {cell.lo}L) div {width}L")).otherwise(place)
         counted = keyed.select(place.alias("place"), "k1", "k2", "size").where("place is not null").groupBy("place")
         seen = counted.agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min("k1").alias("lo1"), F.max("k1").alias("hi1"), F.min("k2").alias("lo2"), F.max("k2").alias("hi2")).collect()
         by_cell: dict[int, list] = {}

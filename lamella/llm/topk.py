@@ -195,9 +195,9 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     result. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    x64 = F.col(vector_col)
-    valid = x64.isNotNull() & F.col(id_col).isNotNull() & F.forall(x64, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    rows = vectors.where(valid).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x64, lambda x: x.cast("double")).alias("x"))
+    vector = F.col(vector_col)
+    valid = vector.isNotNull() & F.col(id_col).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    rows = vectors.where(valid).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector, lambda x: x.cast("double")).alias("x"))
     # Doubles from 2**46 on are whole in 64ths already.
     floored = F.transform("x", lambda x: F.when(F.abs(x) < 2.0**46, F.floor(x * F.lit(float(scale))).cast("double")).otherwise(F.greatest(F.least(x * F.lit(float(scale)), F.lit(1.7e308)), F.lit(-1.7e308))))
     rows = cut(rows.groupBy("vec_id").agg(F.min("x").alias("x")).select("vec_id", floored.alias("v")))

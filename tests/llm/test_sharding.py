@@ -37,6 +37,16 @@ def test_hot_group_is_cut(spark):
     assert got.sort_values("doc_id").reset_index(drop=True).equals(again.sort_values("doc_id").reset_index(drop=True))
 
 
+def test_slots_over_many_blocks(spark, monkeypatch):
+    from lamella.llm import sharding
+
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 20)
+    rows = [(i, f"text {i % 700} " * (1 + i % 5)) for i in range(3000)]
+    got = histogram_shards(spark.createDataFrame(rows, "doc_id long, text string"), 6).toPandas()
+    assert len(got) == 3000
+    held(got, 6, got["size"].max())
+
+
 @pytest.mark.parametrize("shards", [1, 5])
 def test_odd_rows(spark, shards):
     rows = [(1, None), (None, "a"), (None, None), (2, ""), (3, "b" * 100_000), (4, "x"), (4, "x"), (4, "x")]
