@@ -21,8 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of one batch for a Python worker; texts can be long, and workers share an executor's memory.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python workers can import it."""
+    """Make a session ready for Python workers.
+
+    Batches are kept small, and this package is sent to the executors once per
+    application, so that workers can import it.
+    """
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
