@@ -20,7 +20,7 @@ _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 2**64)
 _MIX = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | U(1)
 #: Bytes handled at once: large enough for numpy, small enough for the caches.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 #: Lower-case for A-Z alone.
 LOWER = np.arange(256, dtype=np.uint8)
