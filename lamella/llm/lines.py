@@ -3,8 +3,9 @@
 Every line becomes a set of character shingles with a MinHash signature; equal
 lines are one class from the start. Signatures are cut into many short bands for
 high recall, lines that meet in a band are verified by exact Jaccard similarity,
-and distributed union-find joins the links. The first line of a component, by
-document and place, is kept; all its others are dropped.
+and distributed union-find joins the links. Lines too short for a shingle are
+copies of equal lines alone; blank lines are nobody's copies. The first line of a
+component, by document and place, is kept; all its others are dropped.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ from lamella.session import bounded, cut, release
 SHINGLE, BANDS, DEPTH = 8, 10, 4
 #: Sketch words of 64 bits, each bit of another MinHash.
 WORDS = 1
-#: Shorter lines carry too few shingles to tell a copy from chance; they stay.
-LEAST = 24
 _RNG = np.random.default_rng(77)
 _A = _RNG.integers(1, 2**31, 64 * WORDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 2**31, 64 * WORDS, dtype=np.uint32)
@@ -72,11 +71,23 @@ def _trimmed(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return low, s, e
 
 
-def _long_lines(raw: np.ndarray, offsets: np.ndarray, least: int):
+def _own_lines(raw: np.ndarray, offsets: np.ndarray, least: int):
+    """All lines, and which of them have ``least`` code points and aren't blank."""
     codes, rows, place, starts, ends = _lines(raw, offsets)
     low, starts, ends = _trimmed(codes, starts, ends)
-    long_ = np.flatnonzero(ends - starts >= max(least, SHINGLE))
-    return low, rows, place, starts, ends, long_
+    own = np.flatnonzero(ends - starts >= max(least, 1))
+    return low, rows, place, starts, ends, own
+
+
+def _names(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name each line: two sums over its code points in order; no line is empty."""
+    many = ends - starts
+    bounds = np.concatenate([[0], np.cumsum(many)])
+    order = np.arange(bounds[-1]) - np.repeat(bounds[:-1], many)
+    step = X.mix(np.arange(int(many.max()), dtype=np.uint64) + X.U(5))
+    points = low[np.repeat(starts, many) + order].astype(np.uint64) ^ step[order]
+    h1, h2 = (np.add.reduceat(X.mix(points ^ X.U(salt)), bounds[:-1]) for salt in (3 << 32, 12345678901 << 21))
+    return h1, h2
 
 
 def _shingled(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,24 +104,28 @@ def _signed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         raw_all, offsets_all = X.column_bytes(batch.column(1))
         for i, j in X.blocks(offsets_all):
             raw, offsets = raw_all[offsets_all[i] : offsets_all[j]], offsets_all[i : j + 1] - offsets_all[i]
-            low, rows, place, starts, ends, own = _long_lines(raw, offsets, least)
+            low, rows, place, starts, ends, own = _own_lines(raw, offsets, least)
             if not len(own):
                 continue
-            values, bounds = _shingled(low, starts[own], ends[own])
+            h1, h2 = _names(low, starts[own], ends[own])
+            # Lines under a shingle's length have no set: size 0, and no bands to meet others in.
+            whole = ends[own] - starts[own] >= SHINGLE
+            values, bounds = _shingled(low, starts[own][whole], ends[own][whole])
+            size = np.zeros(len(own), np.int64)
+            size[whole] = np.diff(bounds)
             small = (values >> X.U(32)).astype(np.uint32)
-            mins = np.stack([np.minimum.reduceat(small * a + b, bounds[:-1]) for a, b in zip(_A, _B)])
+            mins = np.zeros((len(_A), len(own)), np.uint32)
+            for m, (a, b) in enumerate(zip(_A, _B)):
+                mins[m, whole] = np.minimum.reduceat(small * a + b, bounds[:-1])
             bands = np.empty((len(own), BANDS), np.uint64)
             for b in range(BANDS):
                 key = np.full(len(own), b, np.uint64)
                 for d in range(DEPTH):
                     key = X.mix(key * X.U(0x9E3779B97F4A7C15) + mins[b * DEPTH + d])
                 bands[:, b] = key
-            # The line's name: two sums over its shingles in order.
-            step = X.mix(np.arange(int((bounds[1:] - bounds[:-1]).max()), dtype=np.uint64) + X.U(5))
-            order = step[np.arange(len(values)) - np.repeat(bounds[:-1], np.diff(bounds))]
-            h1, h2 = (np.add.reduceat(X.mix(values ^ order ^ X.U(salt)), bounds[:-1]) for salt in (3, 12345678901))
+            dealt = np.concatenate([[0], np.cumsum(np.where(whole, BANDS, 0))])
             at = pa.array(rows[own] + i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(place[own]), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.diff(bounds)), *[pa.array(w.view(np.int64)) for w in X.sketches(mins)], X.long_lists(bands.ravel(), np.arange(0, len(own) * BANDS + 1, BANDS))], ["id", "mark", "place", "h1", "h2", "size", *[f"s{w}" for w in range(WORDS)], "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(place[own]), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(size), *[pa.array(w.view(np.int64)) for w in X.sketches(mins)], X.long_lists(bands[whole].ravel(), dealt)], ["id", "mark", "place", "h1", "h2", "size", *[f"s{w}" for w in range(WORDS)], "bands"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -120,7 +135,7 @@ def _texts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         places, nodes = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         for i, j in X.blocks(offsets_all):
             raw, offsets = raw_all[offsets_all[i] : offsets_all[j]], offsets_all[i : j + 1] - offsets_all[i]
-            low, rows, place, starts, ends, own = _long_lines(raw, offsets, least)
+            low, rows, place, starts, ends, own = _own_lines(raw, offsets, least)
             wanted = {(r - i, p): n for r in range(i, j) for p, n in zip(places[r], nodes[r])}
             found = [(n, k) for k, r, p in zip(own.tolist(), rows[own].tolist(), place[own].tolist()) if (n := wanted.get((r, p))) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([low[starts[k] : ends[k]].tobytes().decode("utf-32-le") for _, k in found], pa.string())], ["node", "line"])
@@ -161,14 +176,16 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least: int = LEAST) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least: int = 1) -> DataFrame:
     """Lines to drop: (id, mark, places), places being numbers of lines from 0, for documents that have any; mark is the text's hash.
 
     Lines are split at newlines and compared without blanks around them and
-    with A-Z in lower case; those of fewer than ``least`` code points are left
-    alone. Two lines are linked if the Jaccard similarity of their character
-    shingles is ``percent`` / 100 at least. Of each component the line with the
-    smallest id, mark and place is kept.
+    with A-Z in lower case; blank ones, and those of fewer than ``least`` code
+    points, are left alone. Two lines are linked if they are equal or the
+    Jaccard similarity of their character shingles is ``percent`` / 100 at
+    least; lines of fewer than 8 code points have no shingle and link with
+    equal ones only. Of each component the line with the smallest id, mark and
+    place is kept.
 
     A null or empty text has no line to drop. Rows that repeat id and text are
     one document, whose lines stay or go together. Rows without an id are left
@@ -213,7 +230,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return gone.groupBy("id", "mark").agg(F.collect_set("place").alias("places"))
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least: int = LEAST) -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least: int = 1) -> DataFrame:
     """One row per document: ``id_col``, n_lines (a null text has one, empty), n_dropped, dropped (places, ascending)."""
     gone = cut(duplicate_lines(docs, id_col, text_col, percent, least))
     breaks = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0))
