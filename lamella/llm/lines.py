@@ -99,6 +99,22 @@ def _shingled(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return every[at], bounds
 
 
+def _set_sizes(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Number of distinct values of each row; no row is empty.
+
+    Few lines repeat a shingle. They are found by one sort of keys of row and
+    leading bits of the value, and only their values are counted one by one.
+    """
+    many = np.diff(bounds)
+    room = X.U(64 - max(1, len(many).bit_length()))
+    row = np.repeat(np.arange(len(many), dtype=np.uint64), many)
+    keys = np.sort((row << room) | (values >> (X.U(64) - room)))
+    again = np.unique(keys[1:][keys[1:] == keys[:-1]] >> room).astype(np.int64)
+    for r in again:
+        many[r] = len(np.unique(values[bounds[r] : bounds[r + 1]]))
+    return many
+
+
 def _signed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw_all, offsets_all = X.column_bytes(batch.column(1))
@@ -112,7 +128,7 @@ def _signed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
             whole = ends[own] - starts[own] >= SHINGLE
             values, bounds = _shingled(low, starts[own][whole], ends[own][whole])
             size = np.zeros(len(own), np.int64)
-            size[whole] = np.diff(bounds)
+            size[whole] = _set_sizes(values, bounds)
             small = (values >> X.U(32)).astype(np.uint32)
             mins = np.zeros((len(_A), len(own)), np.uint32)
             for m, (a, b) in enumerate(zip(_A, _B)):

@@ -1,3 +1,5 @@
+import numpy as np
+
 from lamella.llm import lines
 from lamella.llm import queries as Q
 from lamella.session import ship
@@ -30,3 +32,23 @@ def test_short_lines(spark):
 def test_only_short_lines(spark):
     ship(spark)
     assert dropped(spark, [(1, "ab\nab"), (2, "b\nab")]) == {1: [1], 2: [1]}
+
+
+def test_repeating_content_of_different_lengths(spark):
+    ship(spark)
+    texts = ["-" * 40, "-" * 80, "the " * 20, "the " * 60, "=" * 30 + "\n" + "=" * 200, "ab" * 8 + "\n" + "ab" * 500]
+    rows = list(enumerate(texts))
+    assert dropped(spark, rows) == brute(rows, least=1) == {1: [0], 3: [0], 4: [1], 5: [1]}
+
+
+def test_set_sizes():
+    rng = np.random.default_rng(5)
+    many = rng.integers(1, 40, 3000)
+    bounds = np.concatenate([[0], np.cumsum(many)])
+    values = rng.integers(0, 2**64, bounds[-1], dtype=np.uint64)
+    values[rng.random(bounds[-1]) < 0.05] = 7
+    # Equal leading bits alone don't make two values equal.
+    values[rng.random(bounds[-1]) < 0.05] = 8
+    want = [len(set(values[a:z].tolist())) for a, z in zip(bounds[:-1], bounds[1:])]
+    assert lines._set_sizes(values, bounds).tolist() == want
+    assert lines._set_sizes(values[:0], bounds[:1]).tolist() == []
