@@ -9,8 +9,9 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SHIPPED: set[str] = set()
 _WRITTEN: dict[str, SparkSession] = {}
@@ -45,9 +46,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where none is named, as in tests."""
+    """The shared folder named by spark.checkpoint.dir; a local one only where none is named and there is one machine, as in tests."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         named = "file://" + tempfile.mkdtemp(prefix="lamella-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -81,13 +84,23 @@ def drop(*tables: DataFrame) -> None:
             _remove(path, _WRITTEN.pop(path))
 
 
-#: Rows of a side that is broadcast, at most; a larger one is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes of a side that is broadcast, at most; a larger one is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 48 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """``df``, a narrow table, for broadcast if it has been counted to be small, else as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df`` for broadcast if its rows and bytes have been counted to be few, else as it is."""
+
+    def width(field: T.StructField) -> Column:
+        own, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (T.ArrayType, T.MapType)):
+            return F.greatest(F.size(own), F.lit(0)) * 16 + 16
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(own), F.lit(0)) + 16
+        return F.lit(32 if isinstance(kind, T.StructType) else 8)
+
+    rows, size = df.agg(F.count("*"), F.sum(sum(map(width, df.schema.fields), F.lit(16)).cast("long"))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
 def release(spark: SparkSession) -> None:
