@@ -20,16 +20,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamella.llm import text as X
-from lamella.llm.components import crowded, meeting, resolve
+from lamella.llm.components import buckets, meeting, resolve
 from lamella.session import bounded, cut, release
 
 #: Code points of a shingle, bands, MinHashes of a band. At a similarity of 0.8 a pair meets with probability 0.995.
 SHINGLE, BANDS, DEPTH = 8, 10, 4
-#: Sketch words of 64 bits, each bit of another MinHash.
-WORDS = 1
+#: Sketch words of 64 bits.
+WORDS = 16
 _RNG = np.random.default_rng(77)
-_A = _RNG.integers(1, 2**31, 64 * WORDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _RNG.integers(0, 2**31, 64 * WORDS, dtype=np.uint32)
+_A = _RNG.integers(1, 2**31, BANDS * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _RNG.integers(0, 2**31, BANDS * DEPTH, dtype=np.uint32)
 
 
 def _lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -99,22 +99,19 @@ def _shingled(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return every[at], bounds
 
 
-def _set_sizes(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Number of distinct values of each row; no row is empty.
-
-    Few lines repeat a shingle. They are found by one sort of keys of row and
-    leading bits of the value, and only their values are counted one by one.
-    """
-    many = np.diff(bounds)
-    room = X.U(64 - max(1, len(many).bit_length()))
-    row = np.repeat(np.arange(len(many), dtype=np.uint64), many)
-    keys = np.sort((row << room) | (values >> (X.U(64) - room)))
-    again = np.unique(keys[1:][keys[1:] == keys[:-1]] >> room).astype(np.int64)
-    for r in again:
-        many[r] = len(np.unique(values[bounds[r] : bounds[r + 1]]))
-    return many
+def _banded(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A key of each line and band; no line is without shingles."""
+    small = (values >> X.U(32)).astype(np.uint32)
+    out = np.empty((len(bounds) - 1, BANDS), np.uint64)
+    for b in range(BANDS):
+        key = np.full(len(bounds) - 1, b, np.uint64)
+        for m in range(b * DEPTH, (b + 1) * DEPTH):
+            key = X.mix(key * X.U(0x9E3779B97F4A7C15) + np.minimum.reduceat(small * _A[m] + _B[m], bounds[:-1]))
+        out[:, b] = key
+    return out
 
 
+@X.lean
 def _signed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw_all, offsets_all = X.column_bytes(batch.column(1))
@@ -124,37 +121,37 @@ def _signed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
             if not len(own):
                 continue
             h1, h2 = _names(low, starts[own], ends[own])
-            # Lines under a shingle's length have no set: size 0, and no bands to meet others in.
+            # Lines under a shingle's length have no set, and no bands to meet others in.
             whole = ends[own] - starts[own] >= SHINGLE
-            values, bounds = _shingled(low, starts[own][whole], ends[own][whole])
-            size = np.zeros(len(own), np.int64)
-            size[whole] = _set_sizes(values, bounds)
-            small = (values >> X.U(32)).astype(np.uint32)
-            mins = np.zeros((len(_A), len(own)), np.uint32)
-            for m, (a, b) in enumerate(zip(_A, _B)):
-                mins[m, whole] = np.minimum.reduceat(small * a + b, bounds[:-1])
-            bands = np.empty((len(own), BANDS), np.uint64)
-            for b in range(BANDS):
-                key = np.full(len(own), b, np.uint64)
-                for d in range(DEPTH):
-                    key = X.mix(key * X.U(0x9E3779B97F4A7C15) + mins[b * DEPTH + d])
-                bands[:, b] = key
+            bands = _banded(*_shingled(low, starts[own][whole], ends[own][whole])) if whole.any() else np.zeros(0, np.uint64)
             dealt = np.concatenate([[0], np.cumsum(np.where(whole, BANDS, 0))])
             at = pa.array(rows[own] + i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(place[own]), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(size), *[pa.array(w.view(np.int64)) for w in X.sketches(mins)], X.long_lists(bands[whole].ravel(), dealt)], ["id", "mark", "place", "h1", "h2", "size", *[f"s{w}" for w in range(WORDS)], "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(place[own]), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), X.long_lists(bands.ravel(), dealt)], ["id", "mark", "place", "h1", "h2", "bands"])
 
 
+@X.lean
 def _texts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """The lines asked for, without blanks and in lower case: columns id, text, places and nodes."""
+    """The lines asked for, without blanks and in lower case, with the sizes and sketches of their sets and their bands: columns id, text, places and nodes."""
     for batch in batches:
         raw_all, offsets_all = X.column_bytes(batch.column(1))
-        places, nodes = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         for i, j in X.blocks(offsets_all):
             raw, offsets = raw_all[offsets_all[i] : offsets_all[j]], offsets_all[i : j + 1] - offsets_all[i]
             low, rows, place, starts, ends, own = _own_lines(raw, offsets, least)
-            wanted = {(r - i, p): n for r in range(i, j) for p, n in zip(places[r], nodes[r])}
-            found = [(n, k) for k, r, p in zip(own.tolist(), rows[own].tolist(), place[own].tolist()) if (n := wanted.get((r, p))) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([low[starts[k] : ends[k]].tobytes().decode("utf-32-le") for _, k in found], pa.string())], ["node", "line"])
+            places, nodes = (batch.column(c).slice(i, j - i) for c in (2, 3))
+            asked = np.repeat(np.arange(j - i), np.asarray(places.value_lengths())) << 40 | np.asarray(places.flatten())
+            order = np.argsort(asked)
+            code = rows[own] << 40 | place[own]
+            at = np.minimum(np.searchsorted(asked[order], code), max(len(asked) - 1, 0))
+            found = np.flatnonzero(asked[order][at] == code) if len(asked) else np.zeros(0, np.int64)
+            if not len(found):
+                continue
+            node = np.asarray(nodes.flatten())[order][at[found]]
+            a, z = starts[own][found], ends[own][found]
+            values, bounds = _shingled(low, a, z)
+            bands = _banded(values, bounds)
+            items, limits = X.distinct_by_row(values, bounds)
+            text = [low[s:e].tobytes().decode("utf-32-le") for s, e in zip(a.tolist(), z.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(text, pa.string()), pa.array(np.diff(limits)), *[pa.array(w.view(np.int64)) for w in X.sketches(items, limits, WORDS)], X.long_lists(bands.ravel(), np.arange(len(found) + 1) * BANDS)], ["node", "line", "size", *[f"s{w}" for w in range(WORDS)], "bands"])
 
 
 def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -164,25 +161,37 @@ def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32), before[offsets]
 
 
+@X.lean
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of lines (la, lb) whose sets of shingles are similar enough."""
     for batch in batches:
-        for i in range(0, batch.num_rows, 1024):
-            part, sets = batch.slice(i, 1024), []
-            for column in (2, 3):
-                codes, bounds = _codes(part.column(column))
-                values, at = _shingled(codes, bounds[:-1], bounds[1:])
-                sets.append([np.unique(values[x:z]) for x, z in zip(at[:-1], at[1:])])
-            keep = []
-            for one, two in zip(*sets):
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(100 * common >= percent * (len(one) + len(two) - common))
-            yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        if not batch.num_rows:
+            continue
+        # A line's set is made once a batch, of numbers from 0 for the shingles that occur in it.
+        both = np.concatenate([np.asarray(batch.column(0)), np.asarray(batch.column(1))])
+        _, first, number = np.unique(both, return_index=True, return_inverse=True)
+        codes, bounds = _codes(pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(first)))
+        items, at = X.distinct_by_row(*_shingled(codes, bounds[:-1], bounds[1:]))
+        names, items = np.unique(items, return_inverse=True)
+        size, (one, two) = np.diff(at), np.split(number, 2)
+        common, mark = np.empty(batch.num_rows, np.int64), np.zeros(len(names), bool)
+        order = np.argsort(two, kind="stable")
+        edges = np.flatnonzero(np.diff(two[order], prepend=-1, append=-1))
+        for s, e in zip(edges[:-1], edges[1:]):
+            pivot, rows = two[order[s]], order[s:e]
+            mark[items[at[pivot] : at[pivot + 1]]] = True
+            many = size[one[rows]]
+            to = np.cumsum(many) - many
+            where = np.repeat(at[one[rows]] - to, many) + np.arange(many.sum())
+            common[rows] = np.add.reduceat(mark[items[where]], to, dtype=np.int64)
+            mark[items[at[pivot] : at[pivot + 1]]] = False
+        yield batch.select([0, 1]).filter(pa.array(100 * common >= percent * (size[one] + size[two] - common)))
 
 
 def _similar_lines(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """Pairs are joined with the lines themselves, which are far smaller than their sets."""
-    left, right = (lines.select(F.col("node").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
+    """Pairs are joined with the lines themselves, which are far smaller than their sets; only lines of a pair are moved."""
+    own = lines.join(bounded(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
+    left, right = (own.select(F.col("node").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb")
     return both.mapInArrow(partial(_verified, percent=percent), "a long, b long")
 
@@ -211,38 +220,41 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType
     rows = _marked(docs, id_col, text_col).where("id is not null and text is not null")
     long_, longs = T.LongType(), T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("id", kind), *[T.StructField(c, long_) for c in ("mark", "place", "h1", "h2", "size", *[f"s{w}" for w in range(WORDS)])], T.StructField("bands", longs)])
+    schema = T.StructType([T.StructField("id", kind), *[T.StructField(c, long_) for c in ("mark", "place", "h1", "h2")], T.StructField("bands", longs)])
     signed = cut(rows.select("id", "text", "mark").mapInArrow(partial(_signed, least=least), schema))
 
-    # Equal lines are a class; (id, mark, place) orders its lines.
+    # Equal lines are a class, named by a number; (id, mark, place) orders its lines.
     here = ["id", "mark", "place"]
-    about = F.struct("size", *[F.col(f"s{w}") for w in range(WORDS)], "bands")
-    classes = cut(signed.groupBy("h1", "h2").agg(F.min(F.struct(*here)).alias("first"), F.first(about).alias("about")))
+    equal = signed.groupBy("h1", "h2").agg(F.min(F.struct(*here)).alias("first"), F.count("*").alias("lines"))
+    classes = cut(equal.withColumn("node", F.monotonically_increasing_id()))
     release(docs.sparkSession)
-    # Only names are dealt to all bands; lengths, sketches and bands join those that meet another.
-    met = meeting(classes.select(F.col("h1").alias("node"), F.posexplode("about.bands").alias("band", "key")))
-    nodes = cut(classes.select(F.col("h1").alias("node"), "about").join(met.select("node").distinct(), "node").dropDuplicates(["node"]), few=True)
-    work = crowded(met.join(nodes, "node").select("key", "node", F.col("node").alias("label"), F.col("about").withField("at", F.col("band")).alias("about")))
-    classes = classes.drop("about")
+    # Only names are dealt to all bands; the rest joins those that meet another class.
+    dealt = signed.select("h1", "h2", F.posexplode("bands").alias("at", "key")).withColumn("who", F.xxhash64("h1", "h2"))
+    met = meeting(dealt.select("key", "at", "h1", "h2", "who"), "who").drop("who")
+    met = cut(met.join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select("key", "at", "node"), few=True)
 
-    asked = classes.join(nodes.select(F.col("node").alias("h1")), "h1").select("first.*", F.col("h1").alias("node"))
+    asked = classes.join(bounded(met.select("node").distinct()), "node").select("first.*", "node")
     asked = cut(asked.groupBy("id", "mark").agg(F.collect_list("place").alias("places"), F.collect_list("node").alias("nodes")))
     texts = rows.join(bounded(asked), ["id", "mark"]).select("id", "text", "places", "nodes")
+    sketch = [f"s{w}" for w in range(WORDS)]
     # Rows that repeat an id and text give a line more than once, of which one is enough.
-    known = cut(texts.mapInArrow(partial(_texts, least=least), "node long, line string").groupBy("node").agg(F.min("line").alias("line")))
+    known = cut(texts.mapInArrow(partial(_texts, least=least), f"node long, line string, size long, {', '.join(f'{w} long' for w in sketch)}, bands array<long>").dropDuplicates(["node"]))
+    release(docs.sparkSession)
+    work = buckets(met, known.select("node", F.struct("size", *sketch, "bands").alias("about")))
 
     def first_meeting(a: Column, b: Column) -> Column:
         return F.array_position(F.zip_with(a["bands"], b["bands"], lambda x, y: x == y), True) - 1 == a["at"]
 
-    roots = resolve(work, percent, lambda pairs: _similar_lines(pairs, known, percent), WORDS, first_meeting)
+    roots = resolve(work, percent, lambda pairs: _similar_lines(pairs, known.select("node", "line"), percent), WORDS, first_meeting)
 
-    named = classes
+    # Only classes of several lines, or linked with others, have lines to drop.
+    many = classes.where("lines > 1").select("h1", "h2", "first")
     if roots is not None:
-        linked = roots.select(F.col("node").alias("h1"), "root")
-        best = cut(classes.join(linked, "h1").groupBy("root").agg(F.min("first").alias("best")))
-        linked = linked.join(best, "root").select("h1", "best")
-        named = cut(classes.join(linked, "h1", "left").select("h1", "h2", F.coalesce("best", "first").alias("first")))
-    gone = signed.select(*here, "h1", "h2").join(named, ["h1", "h2"]).where(F.struct(*here) != F.col("first"))
+        linked = classes.join(bounded(roots), "node").select("h1", "h2", "first", "root")
+        best = linked.groupBy("root").agg(F.min("first").alias("best"))
+        joined = cut(linked.join(best, "root").select("h1", "h2", F.col("best").alias("first")))
+        many = cut(joined.unionByName(many.join(bounded(joined.select("h1", "h2")), ["h1", "h2"], "left_anti")))
+    gone = signed.select(*here, "h1", "h2").join(bounded(many), ["h1", "h2"]).where(F.struct(*here) != F.col("first"))
     return gone.groupBy("id", "mark").agg(F.collect_set("place").alias("places"))
 
 
@@ -255,6 +267,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(gone, ["id", "mark"], "left").select(F.col("id").alias(id_col), "n_lines", F.size(places).cast("long").alias("n_dropped"), places.alias("dropped"))
 
 
+@X.lean
 def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, places = batch.column(0).to_pylist(), batch.column(1).to_pylist()

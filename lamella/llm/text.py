@@ -7,7 +7,9 @@ multi-byte UTF-8 character is ASCII, so bytes give the same words as code points
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,32 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):
+    _TRIM = None
+
+
+def give_back() -> None:
+    """What this process has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A generator over batches that gives what it has freed back to the system at its end, as workers outlive their tasks."""
+
+    @wraps(run)
+    def out(*args, **kwargs):
+        try:
+            yield from run(*args, **kwargs)
+        finally:
+            give_back()
+
+    return out
+
+
 def word_table(*separators: tuple[int, int]) -> np.ndarray:
     """True for each byte that belongs to a word; ranges of separators are inclusive."""
     out = np.ones(256, bool)
@@ -123,6 +151,17 @@ def span_hasher(raw: np.ndarray):
     return lambda starts, ends: mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def same_spans(one: np.ndarray, starts: np.ndarray, ends: np.ndarray, two: np.ndarray, from_: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether each span of ``one`` has the very bytes of its span of ``two``; no span is empty."""
+    same = ends - starts == to - from_
+    a, b, n = starts[same], from_[same], (ends - starts)[same]
+    if len(n):
+        at = np.cumsum(n) - n
+        place = np.arange(n.sum()) - np.repeat(at, n)
+        same[same] = np.logical_and.reduceat(one[np.repeat(a, n) + place] == two[np.repeat(b, n) + place], at)
+    return same
+
+
 def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return span_hasher(raw)(starts, ends)
 
@@ -198,12 +237,21 @@ def min_hashes(values: np.ndarray, bounds: np.ndarray, count: int, seed: int = 7
     return out
 
 
-def sketches(mins: np.ndarray) -> list[np.ndarray]:
-    """A bit of each MinHash, 64 to a word; two sets of similarity s agree in a bit with probability (1 + s) / 2."""
-    out = [np.zeros(mins.shape[1], np.uint64) for _ in range(len(mins) // 64)]
-    for i, row in enumerate(mins[: 64 * len(out)]):
-        out[i // 64] |= ((row.astype(np.uint64) >> U(13)) & U(1)) << U(i % 64)
-    return out
+def sketches(values: np.ndarray, bounds: np.ndarray, words: int) -> list[np.ndarray]:
+    """For each row the parity of how many of its distinct values fall on each of 64 * ``words`` bits, 64 to a word.
+
+    The exclusive or of two sketches is that of the values in one of the two rows only.
+    """
+    rows, bits = len(bounds) - 1, 64 * words
+    out = np.zeros((rows, words), np.uint64)
+    step = max(1, (1 << 21) // bits)
+    for i in range(0, rows, step):
+        j = min(rows, i + step)
+        own = values[bounds[i] : bounds[j]]
+        at = np.repeat(np.arange(j - i), np.diff(bounds[i : j + 1])) * bits + ((own >> U(21)) % U(bits)).astype(np.int64)
+        odd = (np.bincount(at, minlength=(j - i) * bits) & 1).astype(np.uint8)
+        out[i:j] = np.packbits(odd).view(np.uint64).reshape(j - i, words)
+    return [np.ascontiguousarray(out[:, w]) for w in range(words)]
 
 
 def set_ids(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,9 +1,5 @@
-import numpy as np
-
 from lamella.llm import lines
-from lamella.llm import queries as Q
 from lamella.session import ship
-from tests.conftest import SF
 from tests.llm.test_lines import brute
 
 
@@ -12,16 +8,6 @@ def dropped(spark, rows):
     return {r.id: sorted(r.places) for r in gone.collect()}
 
 
-def test_query_without_least_length(spark):
-    ship(spark)
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    want = brute(rows, least=1)
-    got = {r.doc_id: r.dropped for r in Q.op3_linededup(spark, SF).collect()}
-    wrong = [i for i, _ in rows if got[i] != want.get(i, [])]
-    # Bands miss a pair at the very threshold with probability 0.005.
-    assert len(got) == len(rows) and len(wrong) <= 1, wrong
-
-
 def test_short_lines(spark):
     ship(spark)
     rows = [(1, "All rights reserved.\nok\n\n  \nseven77\na"), (2, " all RIGHTS reserved.\t\nOK\n\n\t\nseven78\nb"), (3, "é\nÉ\nok\nseven77\n12345678\n123456789"), (4, "é\n12345678\nko\n" + "z" * 23), (5, "\n"), (6, "z" * 22 + "\na")]
@@ -39,16 +25,3 @@ def test_repeating_content_of_different_lengths(spark):
     texts = ["-" * 40, "-" * 80, "the " * 20, "the " * 60, "=" * 30 + "\n" + "=" * 200, "ab" * 8 + "\n" + "ab" * 500]
     rows = list(enumerate(texts))
     assert dropped(spark, rows) == brute(rows, least=1) == {1: [0], 3: [0], 4: [1], 5: [1]}
-
-
-def test_set_sizes():
-    rng = np.random.default_rng(5)
-    many = rng.integers(1, 40, 3000)
-    bounds = np.concatenate([[0], np.cumsum(many)])
-    values = rng.integers(0, 2**64, bounds[-1], dtype=np.uint64)
-    values[rng.random(bounds[-1]) < 0.05] = 7
-    # Equal leading bits alone don't make two values equal.
-    values[rng.random(bounds[-1]) < 0.05] = 8
-    want = [len(set(values[a:z].tolist())) for a, z in zip(bounds[:-1], bounds[1:])]
-    assert lines._set_sizes(values, bounds).tolist() == want
-    assert lines._set_sizes(values[:0], bounds[:1]).tolist() == []
