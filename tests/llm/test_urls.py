@@ -1,5 +1,7 @@
 import string
 
+import numpy as np
+
 from lamella.llm import queries as Q
 from lamella.llm import urls
 from lamella.session import ship
@@ -28,11 +30,50 @@ def judged(url):
 def test_odd_urls(spark):
     ship(spark)
     df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(ODD)], "page_id long, url string, host string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(df).collect()}
+    rows = urls.judge_urls(df).collect()
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows}
+    assert all((r.score is None) == (r.rule is not None) for r in rows)
     assert got == {i: judged(u) for i, u in enumerate(ODD)}
     assert urls.judge_urls(df.limit(0)).count() == 0
 
 
+def test_null_ids_and_repeated_rows(spark):
+    ship(spark)
+    rows = [(None, "http://casino-night.example.com/en/1"), (None, "http://casino-night.example.com/en/1"), (None, None), (4, "http://x.net/"), (4, "http://x.net/")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = sorted(str((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in urls.judge_urls(df).collect())
+    assert got == sorted(str((i, *judged(u))) for i, u in rows)
+
+
+HELD = ("casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x")
+
+
+def test_held_out_hosts():
+    """No host of the pages is in the labelled table; at sf0.1 all URLs of bad hosts that no rule decides are blocked, and no other."""
+    import pyarrow.parquet as pq
+
+    plain = lambda host: host.removeprefix("www.").removeprefix("blog.").removeprefix("m.")
+    pages = [urls.parts(u) for u in pq.read_table("/root/testdata/sf0.1/pages.parquet").column("url").to_pylist()]
+    trained = {plain(urls.parts(u)[0]) for u, _ in urls.LABELLED}
+    assert not trained & {plain(h) for h, _ in pages}
+    open_ = [(h, p) for h, p in pages if not any((h == r or h.endswith("." + r)) and p.startswith(q) for r, q, _ in urls.RULES)]
+    blocked = urls.totals(urls.train(), *map(list, zip(*open_))) >= 0
+    bad = np.array([any(x in h for x in HELD) for h, _ in open_])
+    assert bad.sum() > 90 and len(open_) > 1000
+    assert (blocked & bad).sum() / bad.sum() >= 0.95 and (blocked & bad).sum() / blocked.sum() >= 0.95
+
+
+def test_left_out_kinds():
+    """Each kind of site judged by a model that has seen none of its fifth of the table."""
+    right = []
+    for fold in range(5):
+        model = urls.train(tuple(x for n, x in enumerate(urls.LABELLED) if n % 5 != fold))
+        right += [(bool(y), urls.score(model, *urls.parts(u)) >= 0.5) for n, (u, y) in enumerate(urls.LABELLED) if n % 5 == fold]
+    bad = [b for y, b in right if y]
+    good = [b for y, b in right if not y]
+    assert sum(bad) / len(bad) > 0.6 and sum(good) / len(good) < 0.3
+
+
 def test_query(spark):
     ship(spark)
     got = Q.op6_urls(spark, SF).collect()
