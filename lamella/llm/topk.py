@@ -1,14 +1,17 @@
 """Exact top-k search by inner product: ball-tree branch and bound per shard.
 
-Candidates are dealt into shards by a hash of their id; each shard is one row
-that holds its vectors in the order of a ball tree with centres and radii. The
-queries are dealt into blocks. A cell is a block of queries and a group of
-shards; within it the shards are searched one after the other, and a query's kth
-score so far prunes the nodes of the next shard. It starts from the kth score
-within a sample of fixed size, which every cell shares. Nodes are visited by
-their upper bound, the inner product with the centre plus the radius times the
-query's norm. Cells are equi-joined by shard and task; no task holds more than a
-block of queries and one shard at a time.
+Candidates are dealt into shards by region: the upper levels of a tree of
+halfspaces, grown on a sample of fixed size, say which cell a vector is in, and
+a crowded cell is several shards. Each shard is one row that holds its vectors
+in the order of a ball tree with centres and radii; the queries are dealt into
+blocks in the same way. A query starts with a floor, the kth score within the
+sample. A block meets only the shards whose root ball can beat the floor of one
+of its queries, before any vector of a shard moves; these are searched in the
+order of their bounds, in cells of a block and a group of shards, where a
+query's kth score so far prunes the nodes of the next shard. Nodes are visited
+by their upper bound, the inner product with the centre plus the radius times
+the query's norm. All joins are equi-joins; no task holds more than a block of
+queries and one shard at a time.
 """
 
 from __future__ import annotations
@@ -21,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.session import cut
+from lamella.session import bounded, cut
 
 K, SCALE = 20, 64
 SHARD_ROWS, QUERY_ROWS, LEAF, SAMPLE = 8192, 256, 256, 4096
-#: Shards that one cell searches one after the other.
-GROUP = 256
+#: Cells that the sample tells apart, vector lengths that get a sample, at most.
+CELLS, LENGTHS = 256, 8
+#: Shards that one task searches one after the other, and whose roots a block meets at once.
+GROUP, ROOTS = 256, 1024
 #: Integers up to here are exact as doubles.
 EXACT = 2**53
 
@@ -55,6 +60,55 @@ def _ball_tree(vectors: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, in
     return order, nodes
 
 
+def _balls(vectors: np.ndarray, nodes: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and radii of nodes over rows in tree order."""
+    centres = np.array([vectors[a:z].mean(0) for a, z, _, _ in nodes]).reshape(len(nodes), vectors.shape[1])
+    with np.errstate(over="ignore", invalid="ignore"):
+        radii = np.array([np.sqrt(((vectors[a:z] - c) ** 2).sum(1).max()) for (a, z, _, _), c in zip(nodes, centres)])
+    return centres, np.nan_to_num(radii, nan=np.inf, posinf=np.inf)
+
+
+class Regions:
+    """Cells of space: a tree of halfspaces that cut a sample in halves. (normal, limit, left, right) by node; leaves are cells."""
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        self.nodes: list[tuple[np.ndarray, float, int, int] | int] = []
+        self.cells = 0
+
+        def grow(own: np.ndarray, cells: int) -> int:
+            at = len(self.nodes)
+            self.nodes.append(0)
+            if cells > 1 and len(own) > 1:
+                far = own[np.argmax(((own - own[0]) ** 2).sum(1))]
+                normal = own[np.argmax(((own - far) ** 2).sum(1))] - far
+                along = own @ normal
+                limit = float(np.median(along))
+                low = along < limit
+                if low.any():
+                    self.nodes[at] = (normal, limit, grow(own[low], cells // 2), grow(own[~low], cells - cells // 2))
+                    return at
+            self.nodes[at] = self.cells
+            self.cells += 1
+            return at
+
+        with np.errstate(over="ignore", invalid="ignore"):
+            grow(sample, cells)
+
+    def cell(self, vectors: np.ndarray) -> np.ndarray:
+        out, todo = np.zeros(len(vectors), np.int64), [(0, np.arange(len(vectors)))]
+        while todo:
+            at, rows = todo.pop()
+            node = self.nodes[at]
+            if isinstance(node, int):
+                out[rows] = node
+            elif len(rows):
+                normal, limit, left, right = node
+                with np.errstate(over="ignore", invalid="ignore"):
+                    low = vectors[rows] @ normal < limit
+                todo += [(left, rows[low]), (right, rows[~low])]
+        return out
+
+
 def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Exact integer inner products; beyond a long they stay at its bounds."""
     q, v = np.abs(queries).max(initial=0), np.abs(vectors).max(initial=0)
@@ -81,6 +135,13 @@ class Best:
         own = np.where(self.count >= self.k, self.score[:, -1].astype(float), -np.inf)
         return np.maximum(own, self.floor)
 
+    def bounds(self, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+        """Scores that no vector in a ball exceeds, by query and ball; rounding of doubles is far below the slack."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            bound = self.vectors @ centres.T + self.norms[:, None] * radii[None, :]
+            bound += 1e-9 * (np.abs(bound) + self.norms[:, None] * (radii + np.sqrt((centres**2).sum(1)))[None, :]) + 1e-6
+        return np.nan_to_num(bound, nan=np.inf, posinf=np.inf, neginf=-np.inf)
+
     def offer(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """Candidates for the queries ``rows``, scores as (rows, ids)."""
         own = self.ids[rows][:, None] != ids[None, :]
@@ -94,10 +155,7 @@ class Best:
     def search(self, ids: np.ndarray, vectors: np.ndarray, nodes: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> None:
         if not len(ids):
             return
-        # Rounding of doubles is far below this slack, so no node is pruned wrongly.
-        bound = self.vectors @ centres.T + self.norms[:, None] * radii[None, :]
-        bound += 1e-9 * (np.abs(bound) + self.norms[:, None] * (radii + np.sqrt((centres**2).sum(1)))[None, :]) + 1e-6
-        bound = np.nan_to_num(bound, nan=np.inf, posinf=np.inf, neginf=-np.inf)
+        bound = self.bounds(centres, radii)
         heap = [(-bound[:, 0].max(), 0)]
         while heap:
             _, at = heapq.heappop(heap)
@@ -122,7 +180,7 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _build(key: tuple, group: pa.Table) -> pa.Table:
-    """One shard's row: ids and vectors in tree order, nodes, centres and radii."""
+    """One shard's row: its root ball, and ids and vectors in tree order, nodes, centres and radii."""
     dim = key[0].as_py()
     ids = group.column("vec_id").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
     vectors = _vectors(group.column("v").combine_chunks(), dim)
@@ -130,10 +188,10 @@ def _build(key: tuple, group: pa.Table) -> pa.Table:
     ids, vectors = ids[first], vectors[first]
     order, nodes = _ball_tree(vectors)
     ids, vectors = ids[order], vectors[order]
-    centres = np.array([vectors[a:z].mean(0) for a, z, _, _ in nodes]).reshape(len(nodes), dim)
-    radii = np.array([np.sqrt(((vectors[a:z] - c) ** 2).sum(1).max()) for (a, z, _, _), c in zip(nodes, centres)])
+    centres, radii = _balls(vectors, nodes)
     pack = [ids.astype("<i8"), vectors.astype("<f4") if np.array_equal(vectors.astype("<f4"), vectors) else vectors.astype("<f8"), np.array(nodes, "<i8").reshape(-1, 4), centres.astype("<f8"), radii.astype("<f8")]
-    return pa.table({"dim": pa.array([dim], pa.int32()), "shard": group.column("shard").slice(0, 1), "rows": pa.array([len(ids)], pa.int64()), "body": pa.array([b"".join(p.tobytes() for p in pack)], pa.binary()), "narrow": pa.array([pack[1].dtype.itemsize == 4])})
+    root = np.append(centres[0], radii[0]).astype("<f8").tobytes()
+    return pa.table({"dim": pa.array([dim], pa.int32()), "shard": group.column("shard").slice(0, 1), "rows": pa.array([len(ids)], pa.int64()), "root": pa.array([root], pa.binary()), "body": pa.array([b"".join(p.tobytes() for p in pack)], pa.binary()), "narrow": pa.array([pack[1].dtype.itemsize == 4])})
 
 
 def _unpack(body: bytes, rows: int, dim: int, narrow: bool) -> tuple:
@@ -149,7 +207,55 @@ def _unpack(body: bytes, rows: int, dim: int, narrow: bool) -> tuple:
     return ids, vectors, nodes, centres, radii
 
 
-def _search_cells(k: int, samples):
+def _placed(regions):
+    """Adds the cell of each vector: columns vec_id, v, dim."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = np.asarray(batch.column(2))
+            cell = np.zeros(len(dims), np.int64)
+            for dim in np.unique(dims):
+                if dim in regions.value:
+                    (rows,) = np.nonzero(dims == dim)
+                    cell[rows] = regions.value[dim].cell(_vectors(batch.column(1).take(pa.array(rows)), int(dim)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], ["vec_id", "v", "dim", "cell"])
+
+    return run
+
+
+def _floored(samples, k: int):
+    """Adds to each block the least score that a result of its queries can have: any k candidates bound the kth from below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, vectors, *_ = _unpack(row["body"], row["rows"], row["dim"], row["narrow"])
+                best = Best(ids, vectors, k)
+                if row["dim"] in samples.value:
+                    best.search(*samples.value[row["dim"]])
+                row["floor"] = best.kth().astype("<f8").tobytes()
+                yield pa.RecordBatch.from_pylist([row], pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("rows", pa.int64()), ("body", pa.binary()), ("narrow", pa.bool_()), ("floor", pa.binary())]))
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For a block and a chunk of root balls the shards that can matter, best bound first, in groups: (dim, block, group, place, shard)."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            ids, vectors, *_ = _unpack(row["body"], row["rows"], row["dim"], row["narrow"])
+            best = Best(ids, vectors, 1)
+            roots = np.array([np.frombuffer(r["root"], "<f8") for r in row["roots"]])
+            bound = best.bounds(roots[:, :-1], roots[:, -1])
+            able = (bound >= np.frombuffer(row["floor"], "<f8")[:, None]).any(0)
+            top = np.where(able, bound.max(0), -np.inf)
+            order = [n for n in np.argsort(-top, kind="stable").tolist() if able[n]]
+            n = len(order)
+            group = row["chunk"] * (ROOTS // GROUP + 1) + np.arange(n) // GROUP
+            yield pa.RecordBatch.from_arrays([pa.array([row["dim"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int64()), pa.array(group, pa.int64()), pa.array(np.arange(n), pa.int64()), pa.array([row["roots"][i]["shard"] for i in order], pa.int64())], ["dim", "block", "group", "place", "shard"])
+
+
+def _search_cells(k: int):
     """Rows arrive sorted by cell, the block of queries first and then its shards."""
 
     def answer(best: Best) -> pa.RecordBatch:
@@ -166,13 +272,9 @@ def _search_cells(k: int, samples):
                         yield answer(best)
                     best, now = None, cell
                 part = _unpack(row["body"], row["rows"], row["dim"], row["narrow"])
-                if row["shard"] < 0:
+                if row["place"] < 0:
                     best = Best(part[0], part[1], k)
-                    # Any k candidates bound the kth score from below.
-                    if row["dim"] in samples.value:
-                        seed = Best(part[0], part[1], k)
-                        seed.search(*samples.value[row["dim"]])
-                        best.floor = seed.kth()
+                    best.floor = np.frombuffer(row["floor"], "<f8").copy()
                 elif best is not None:
                     best.search(*part)
         if best is not None:
@@ -202,40 +304,44 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     floored = F.transform("x", lambda x: F.when(F.abs(x) < 2.0**46, F.floor(x * F.lit(float(scale))).cast("double")).otherwise(F.greatest(F.least(x * F.lit(float(scale)), F.lit(1.7e308)), F.lit(-1.7e308))))
     rows = cut(rows.groupBy("vec_id").agg(F.min("x").alias("x")).select("vec_id", floored.alias("v")))
     total = rows.count()
-    shards = max(1, -(-total // SHARD_ROWS))
-    blocks = max(1, -(-total // (every * QUERY_ROWS)))
-    groups = -(-shards // GROUP)
-    dim = F.size("v").alias("dim")
-
-    built = "dim int, shard int, rows long, body binary, narrow boolean"
-    dealt = rows.select("vec_id", "v", dim, F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"))
-    tree = cut(dealt.groupBy("dim", "shard").applyInArrow(_build, built))
-    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v", dim, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("shard"))
-    query = cut(asked.groupBy("dim", "shard").applyInArrow(_build, built).withColumnRenamed("shard", "block"))
-
-    # One sample of at most SAMPLE rows a length, for at most 8 lengths: a bound on every query's kth score.
+    rows = rows.select("vec_id", "v", F.size("v").alias("dim"))
+
+    # One sample of SAMPLE rows for all lengths; the commonest lengths get cells and floors from it.
     share = min(1.0, SAMPLE / max(1, total))
-    few = dealt.where(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(SAMPLE).select("vec_id", "v").collect()
+    few = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(SAMPLE).select("vec_id", "v").collect()
     by_dim: dict[int, list] = {}
     for r in few:
         by_dim.setdefault(len(r["v"]), []).append(r)
-    samples = {}
-    for d, own in by_dim.items():
+    samples, regions = {}, {}
+    for d, own in sorted(by_dim.items(), key=lambda x: (-len(x[1]), x[0]))[:LENGTHS]:
         v = np.array([r["v"] for r in own], float).reshape(len(own), d)
+        regions[d] = Regions(v, min(CELLS, -(-total // SHARD_ROWS)))
         order, nodes = _ball_tree(v)
         v, ids = v[order], np.array([r["vec_id"] for r in own], np.int64)[order]
-        centres = np.array([v[a:z].mean(0) for a, z, _, _ in nodes]).reshape(len(nodes), d)
-        radii = np.array([np.sqrt(((v[a:z] - c) ** 2).sum(1).max()) for (a, z, _, _), c in zip(nodes, centres)])
-        samples[d] = (ids, v, np.array(nodes).reshape(-1, 4), centres, radii)
-    shared = spark.sparkContext.broadcast(samples)
-
-    # A cell's rows: its queries under shard -1, and its group's shards.
-    lists = query.select("dim", "block").join(tree.select("dim", "shard"), "dim").withColumn("group", F.floor(F.col("shard") / GROUP).cast("int"))
-    body = lists.join(tree, ["dim", "shard"]).select("dim", "block", "group", "shard", "rows", "body", "narrow")
-    heads = query.select("dim", "block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(-1).alias("shard"), "rows", "body", "narrow")
-    cells = body.unionByName(heads).repartition(blocks * groups, "dim", "block", "group").sortWithinPartitions("dim", "block", "group", "shard")
-    found = cells.mapInArrow(_search_cells(k, shared), "query_id long, vec_id long, score long")
-    # The best of each group of shards: at most k * groups rows a query.
+        samples[d] = (ids, v, np.array(nodes).reshape(-1, 4), *_balls(v, nodes))
+    sc = spark.sparkContext
+    placed = cut(rows.mapInArrow(_placed(sc.broadcast(regions)), "vec_id long, v array<double>, dim int, cell long"))
+
+    def built(own: DataFrame, most: int, salt: int) -> DataFrame:
+        """Vectors by cell, a crowded one in as many parts as it needs; a part is a row."""
+        parts = own.groupBy("dim", "cell").count().select("dim", "cell", F.ceil(F.col("count") / most).alias("parts"))
+        part = F.col("cell") * 2**32 + F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col("parts"))
+        dealt = own.join(bounded(cut(parts)), ["dim", "cell"]).select("dim", part.alias("shard"), "vec_id", "v")
+        return dealt.groupBy("dim", "shard").applyInArrow(_build, "dim int, shard long, rows long, root binary, body binary, narrow boolean")
+
+    tree = cut(built(placed, SHARD_ROWS, 0))
+    asked = built(placed.where(F.col("vec_id") % every == 0), QUERY_ROWS, 1).select("dim", F.col("shard").alias("block"), "rows", "body", "narrow")
+    query = cut(asked.mapInArrow(_floored(sc.broadcast(samples), k), "dim int, block long, rows long, body binary, narrow boolean, floor binary"))
+
+    # Blocks meet root balls first, a chunk of them at once, and then the shards that these don't rule out.
+    chunks = max(1, -(-tree.count() // ROOTS))
+    roots = tree.withColumn("chunk", F.pmod(F.xxhash64("shard"), F.lit(chunks)).cast("int")).groupBy("dim", "chunk").agg(F.collect_list(F.struct("shard", "root")).alias("roots"))
+    lists = cut(query.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).join(roots, ["dim", "chunk"]).mapInArrow(_met, "dim int, block long, group long, place long, shard long"))
+    body = lists.join(tree, ["dim", "shard"]).select("dim", "block", "group", "place", "rows", "body", "narrow", F.lit(None).cast("binary").alias("floor"))
+    heads = lists.select("dim", "block", "group").distinct().join(query, ["dim", "block"]).select("dim", "block", "group", F.lit(-1).cast("long").alias("place"), "rows", "body", "narrow", "floor")
+    cells = body.unionByName(heads).repartition("dim", "block", "group").sortWithinPartitions("dim", "block", "group", "place")
+    found = cells.mapInArrow(_search_cells(k), "query_id long, vec_id long, score long")
+    # The best of each group of shards that a query's block has met: at most k rows of each.
     ranked = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score").cast("decimal(20,0)")).alias("less"), "vec_id", "score"))), 1, k).alias("best"))
     return ranked.select("query_id", F.posexplode("best").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
 

@@ -72,3 +72,26 @@ def test_pruning_prunes():
 
 def test_empty(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_blocks_meet_few_shards(spark, monkeypatch):
+    """In clustered data most shards' bodies never move to a block; the result stays exact."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 60)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 20)
+    met = {}
+
+    def cut(df, *args):
+        out = cut_(df, *args)
+        for name in ("place", "root", "floor"):
+            if name in df.columns:
+                met[name] = out.count()
+        return out
+
+    cut_ = topk.cut
+    monkeypatch.setattr(topk, "cut", cut)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 8)) * 4
+    rows = [(i, (centres[i % 12] + 0.1 * rng.normal(size=8)).tolist(), 0, "") for i in range(1200)] + [(2000 + i, [1.0] * 8, 0, "") for i in range(300)]
+    check(spark, rows, every=7, k=5)
+    assert met["root"] >= 20 and met["floor"] >= 8
+    assert met["place"] < 0.4 * met["root"] * met["floor"]
