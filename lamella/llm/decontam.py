@@ -3,8 +3,9 @@
 A window of ten words is a pattern of ten symbols. For each pattern length the
 search keeps a shift table over hashed blocks of two words, which tells how far
 the next possible window end is, and buckets of patterns by the hash of their
-last words; what a bucket offers is compared word by word. Most positions of a
-clean text are skipped, as most pairs of words occur in no window.
+last words; what a bucket offers is compared word by word, first by hash and then
+byte by byte. Most positions of a clean text are skipped, as most pairs of words
+occur in no window.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm import text as X
-from lamella.session import cut
+from lamella.session import bounded, cut
 
 WINDOW = 10
 #: Benchmark text compiled into one set of tables; more makes several sets, searched one after the other.
@@ -26,15 +28,20 @@ LANE = 256
 
 
 class Tables:
-    """Shift table and suffix buckets for the distinct windows of one length."""
+    """Shift table and suffix buckets for the distinct windows of one length.
 
-    def __init__(self, windows: np.ndarray, owners: list[list[int]]):
+    ``words`` are bytes, and starts and ends of words in them; a window is the
+    words from ``at`` on.
+    """
+
+    def __init__(self, windows: np.ndarray, owners: list[list[int]], at: np.ndarray | None = None, words: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
         self.m = m = windows.shape[1]
         self.block, self.tail = min(2, m), min(4, m)
         suffix = X.hash_windows_rows(windows[:, m - self.tail :])
         order = np.argsort(suffix, kind="stable")
         self.windows, self.suffix = windows[order], suffix[order]
         self.owners = [owners[i] for i in order]
+        self.at, self.words = None if at is None else at[order], words
         bits = max(12, min(22, int(len(windows) * m).bit_length() + 3))
         self.mask = np.uint64((1 << bits) - 1)
         self.shift = np.full(1 << bits, m - self.block + 1, np.int64)
@@ -75,6 +82,14 @@ class Tables:
             same &= words[ends - m + 1 + j] == self.windows[offered, j]
         return ends[same], offered[same]
 
+    def confirm(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, last: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Whether the words that end at ``last`` are, byte by byte, those of the windows ``which``."""
+        own, from_, to = self.words
+        step = np.arange(self.m)
+        a = (last[:, None] - self.m + 1 + step).ravel()
+        b = (self.at[which][:, None] + step).ravel()
+        return X.same_spans(raw, starts[a], ends[a], own, from_[b], to[b]).reshape(-1, self.m).all(1)
+
 
 def compile_windows(items: list[tuple], window: int = WINDOW) -> tuple[list[Tables], list[str | None]]:
     """Tables by window length for (item_id, text) pairs, and the items' names."""
@@ -84,15 +99,20 @@ def compile_windows(items: list[tuple], window: int = WINDOW) -> tuple[list[Tabl
     low = X.LOWER[raw]
     starts, ends, first = X.find_words(low, offsets, X.BY_ALNUM)
     words = X.hash_spans(low, starts, ends) if len(starts) else np.zeros(0, np.uint64)
-    found: dict[int, dict[bytes, set[int]]] = {}
+    found: dict[int, dict[bytes, tuple[int, set[int]]]] = {}
     for row, (item, _) in enumerate(items):
-        own = words[first[row] : first[row + 1]]
-        m = min(window, len(own))
-        for i in range(len(own) - m + 1 if m else 0):
-            owners = found.setdefault(m, {}).setdefault(own[i : i + m].tobytes(), set())
+        a, n = int(first[row]), int(first[row + 1] - first[row])
+        m = min(window, n)
+        text = [low[s:e].tobytes() for s, e in zip(starts[a : a + n].tolist(), ends[a : a + n].tolist())]
+        for i in range(n - m + 1 if m else 0):
+            # No word holds a blank.
+            _, owners = found.setdefault(m, {}).setdefault(b" ".join(text[i : i + m]), (a + i, set()))
             if item is not None:
                 owners.add(number[str(item)])
-    tables = [Tables(np.stack([np.frombuffer(w, np.uint64) for w in each]), [sorted(v) for v in each.values()]) for m, each in sorted(found.items())]
+    tables = []
+    for m, each in sorted(found.items()):
+        at = np.array([k for k, _ in each.values()], np.int64)
+        tables.append(Tables(words[at[:, None] + np.arange(m)], [sorted(v) for _, v in each.values()], at, (low, starts, ends)))
     return tables, names
 
 
@@ -101,8 +121,8 @@ def _characters(raw: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
 
 
-def search(raw: np.ndarray, offsets: np.ndarray, tables: list[Tables], names: list[str]) -> tuple:
-    """By row: words, words hit, names of items with occurring windows, spans of hit text in code points."""
+def search(raw: np.ndarray, offsets: np.ndarray, tables: list[Tables]) -> tuple:
+    """Whether each word of all rows is hit, the first word of each row, and by row the numbers of items with occurring windows."""
     low = X.LOWER[raw]
     starts, ends, first = X.find_words(low, offsets, X.BY_ALNUM)
     words = X.hash_spans(low, starts, ends) if len(starts) else np.zeros(0, np.uint64)
@@ -110,37 +130,49 @@ def search(raw: np.ndarray, offsets: np.ndarray, tables: list[Tables], names: li
     items: dict[int, set[int]] = {}
     for t in tables:
         last, which = t.find(words, first)
+        sure = t.confirm(low, starts, ends, last, which)
+        last, which = last[sure], which[sure]
         np.add.at(delta, last - t.m + 1, 1)
         np.add.at(delta, last + 1, -1)
-        for row, w in set(zip((np.searchsorted(first, last, "right") - 1).tolist(), which.tolist())):
+        pairs = np.unique(np.stack([np.searchsorted(first, last, "right") - 1, which]), axis=1)
+        for row, w in pairs.T.tolist():
             items.setdefault(row, set()).update(t.owners[w])
-    hit = np.cumsum(delta)[:-1] > 0
+    return np.cumsum(delta)[:-1] > 0, first, items
+
+
+def spans_of(raw: np.ndarray, offsets: np.ndarray, hit: np.ndarray) -> list[list[dict]]:
+    """By row the stretches of words that are hit, in code points."""
+    starts, ends, first = X.find_words(X.LOWER[raw], offsets, X.BY_ALNUM)
     sums = np.concatenate([[0], np.cumsum(hit)])
-    n_hit = sums[first[1:]] - sums[first[:-1]]
-    n_words = np.diff(first)
-    listed = [[names[k] for k in sorted(items.get(r, ()))] for r in range(len(n_words))]
-    spans: list[list[dict]] = [[] for _ in n_words]
-    for r in np.flatnonzero(n_hit):
+    out: list[list[dict]] = [[] for _ in range(len(offsets) - 1)]
+    for r in np.flatnonzero(sums[first[1:]] - sums[first[:-1]]):
         a, z = offsets[r], offsets[r + 1]
         at = _characters(raw[a:z])
         own = hit[first[r] : first[r + 1]]
         turns = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
-        spans[r] = [{"start": int(at[starts[first[r] + s] - a]), "end": int(at[ends[first[r] + e - 1] - a])} for s, e in zip(turns[::2], turns[1::2])]
-    return n_words, n_hit, listed, spans, hit, first
+        out[r] = [{"start": int(at[starts[first[r] + s] - a]), "end": int(at[ends[first[r] + e - 1] - a])} for s, e in zip(turns[::2], turns[1::2])]
+    return out
 
 
 SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 
 
+def _listed(items: dict[int, set[int]], names: list[str], rows: int) -> list[list[str]]:
+    return [[names[k] for k in sorted(items.get(r, ()))] for r in range(rows)]
+
+
 def _searcher(shared):
+    @X.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, names = shared.value
         for batch in batches:
             raw, offsets = X.column_bytes(batch.column(1))
             for i, j in X.blocks(offsets):
-                n_words, n_hit, items, spans, _, _ = search(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tables, names)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n_words), pa.array(n_hit), pa.array(items, pa.list_(pa.string())), pa.array(spans, SPAN)], ["id", "n_words", "n_hit", "items", "spans"])
+                own, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                hit, first, items = search(own, at, tables)
+                sums = np.concatenate([[0], np.cumsum(hit)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(first)), pa.array(sums[first[1:]] - sums[first[:-1]]), pa.array(_listed(items, names, j - i), pa.list_(pa.string())), pa.array(spans_of(own, at, hit), SPAN)], ["id", "n_words", "n_hit", "items", "spans"])
 
     return run
 
@@ -148,20 +180,37 @@ def _searcher(shared):
 def _part_searcher(shared):
     """For one block of several: positions of hit words, for rows that have any."""
 
+    @X.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, names = shared.value
         for batch in batches:
-            raw, offsets = X.column_bytes(batch.column(1))
+            raw, offsets = X.column_bytes(batch.column(0))
             for i, j in X.blocks(offsets):
-                _, n_hit, items, spans, hit, first = search(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tables, names)
-                rows = np.flatnonzero(n_hit)
-                places = [np.flatnonzero(hit[first[r] : first[r + 1]]) for r in rows]
-                keep = pa.array(rows + i, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(2).take(keep), pa.array(places, pa.list_(pa.int64())), pa.array([items[r] for r in rows], pa.list_(pa.string())), pa.array([spans[r] for r in rows], SPAN)], ["id", "mark", "places", "items", "spans"])
+                hit, first, items = search(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tables)
+                places = [np.flatnonzero(hit[first[r] : first[r + 1]]) for r in range(j - i)]
+                rows = [r for r in range(j - i) if len(places[r])]
+                listed = _listed(items, names, j - i)
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array([i + r for r in rows], pa.int64())), pa.array([places[r] for r in rows], pa.list_(pa.int64())), pa.array([listed[r] for r in rows], pa.list_(pa.string()))], ["mark", "places", "items"])
 
     return run
 
 
+@X.lean
+def _joiner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts and spans of rows from the positions that all blocks have found: columns id, text, places, items."""
+    for batch in batches:
+        raw, offsets = X.column_bytes(batch.column(1))
+        for i, j in X.blocks(offsets):
+            own, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            _, _, first = X.find_words(X.LOWER[own], at, X.BY_ALNUM)
+            places = [p or [] for p in batch.column(2).slice(i, j - i).to_pylist()]
+            hit = np.zeros(first[-1], bool)
+            for r, p in enumerate(places):
+                hit[first[r] + np.array(p, np.int64)] = True
+            items = pc.coalesce(batch.column(3).slice(i, j - i), pa.scalar([], pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(first)), pa.array([len(p) for p in places], pa.int64()), items, pa.array(spans_of(own, at, hit), SPAN)], ["id", "n_words", "n_hit", "items", "spans"])
+
+
 def _sql_type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
@@ -179,7 +228,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     The benchmark's bytes are counted first. Up to ``block_bytes`` its tables
     are one broadcast; beyond, it is dealt into blocks of that size, each is
-    searched on its own, and the hits are united by document.
+    searched on its own, and the words that any block hits are united by text,
+    so that counts and spans don't depend on the number of blocks.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("text is not null")
@@ -193,37 +243,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return out.withColumnRenamed("id", id_col)
     # Items are dealt singly, so that a block's size is bounded by its share and one item.
     dealt = cut(items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(2 * parts))))
-    marked = rows.withColumn("mark", F.xxhash64("text"))
-    spans_type = "array<struct<start:bigint,end:bigint>>"
-    hits = docs.sparkSession.createDataFrame([], f"id {kind}, mark long, places array<long>, items array<string>, spans {spans_type}")
+    marked = rows.select("text", F.sha2("text", 256).alias("mark")).where("text is not null")
+    hits = docs.sparkSession.createDataFrame([], "mark string, places array<long>, items array<string>")
     for part in range(2 * parts):
         block = [(r["item"], r["text"]) for r in dealt.where(F.col("part") == part).collect()]
         if block:
             shared = sc.broadcast(compile_windows(block, window))
-            own = cut(marked.mapInArrow(_part_searcher(shared), f"id {kind}, mark long, places array<long>, items array<string>, spans {spans_type}"))
+            own = cut(marked.mapInArrow(_part_searcher(shared), "mark string, places array<long>, items array<string>").dropDuplicates(["mark"]))
             shared.unpersist()
             hits = hits.unionByName(own)
-    # A document's hits are bounded by its own words and the number of blocks.
-    united = hits.groupBy("id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    words = rows.mapInArrow(_word_counter, f"id {kind}, mark_text string, n_words long").select("id", F.xxhash64("mark_text").alias("mark"), "n_words")
-    out = words.join(united, (words["id"].eqNullSafe(united["id"])) & (words["mark"] == united["mark"]), "left")
-    none = F.array().cast("array<string>")
-    return out.select(words["id"].alias(id_col), "n_words", F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("spans", F.array().cast(spans_type)).alias("spans"))
-
-
-def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw, offsets = X.column_bytes(batch.column(1))
-        for i, j in X.blocks(offsets):
-            _, _, first = X.find_words(X.LOWER[raw[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i], X.BY_ALNUM)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(first))], ["id", "mark_text", "n_words"])
+    # A text's hits are bounded by its own words and the number of blocks.
+    united = cut(hits.groupBy("mark").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")))
+    found = rows.withColumn("mark", F.sha2("text", 256)).join(bounded(united), "mark", "left").select("id", "text", "places", "items")
+    return found.mapInArrow(_joiner, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows of ``docs``, with all their columns, that hold no window of the benchmark; without a join.
 
     The benchmark is dealt into blocks of ``block_bytes`` as in ``contaminated``;
-    the rows that one block leaves are written and searched for the next.
+    the rows that one block leaves are written and searched for the next. Rows
+    with null, empty or wordless text stay, as do null ids; repeated rows stay or
+    go together. Empty tables give no rows, or all.
     """
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
@@ -232,13 +273,15 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     at = docs.columns.index(text_col)
 
     def cleaned(shared):
+        @X.lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables, names = shared.value
+            tables, _ = shared.value
             for batch in batches:
                 raw, offsets = X.column_bytes(batch.column(at))
                 for i, j in X.blocks(offsets):
-                    n_hit = search(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tables, names)[1]
-                    yield batch.slice(i, j - i).filter(pa.array(n_hit == 0))
+                    hit, first, _ = search(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tables)
+                    sums = np.concatenate([[0], np.cumsum(hit)])
+                    yield batch.slice(i, j - i).filter(pa.array(sums[first[1:]] == sums[first[:-1]]))
 
         return run
 

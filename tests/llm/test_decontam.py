@@ -46,12 +46,17 @@ def test_against_brute_force(spark):
     docs, items = case(random.Random(4))
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("id", F.lit("clash")).withColumn("n_hit", F.lit(1))
     b = spark.createDataFrame(items, "item_id long, text string")
+    spans = {}
     for block in (decontam.BLOCK_BYTES, 300):
         got = decontam.contaminated(d, b, block_bytes=block).collect()
+        spans[block] = sorted((str(r.doc_id), r.n_hit, [tuple(s) for s in r.spans]) for r in got)
         assert sorted((str(r.doc_id), r.n_words, r.n_hit, list(r["items"])) for r in got) == brute(docs, items)
         clean = decontam.keep_clean(d, b, block_bytes=block)
         want = sorted(i for i, _, n, _ in brute(docs, items) if not n)
         assert sorted(str(r.doc_id) for r in clean.collect()) == want and clean.columns == d.columns
+        assert decontam.keep_clean(d.limit(0), b, block_bytes=block).count() == 0
+    assert spans[decontam.BLOCK_BYTES] == spans[300]
+    assert decontam.keep_clean(d, b.limit(0)).count() == d.count()
     assert decontam.contaminated(d.limit(0), b).count() == 0
     assert decontam.contaminated(d, b.limit(0)).where("n_hit > 0").count() == 0
 
@@ -64,6 +69,21 @@ def test_spans(spark):
     assert text[span.start : span.end] == "one two three four five six seven eight nine ten"
 
 
+def test_equal_hashes_are_not_equal_words(monkeypatch):
+    """Even if all words had one hash, only windows of the very words would hit."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lamella.llm import text as X
+
+    monkeypatch.setattr(X, "hash_spans", lambda raw, starts, ends: np.ones(len(starts), np.uint64))
+    tables, _ = decontam.compile_windows([(1, "a bb c d e f g h i jj"), (2, "x y")])
+    docs = ["1 2 a bb c d e f g h i jj 3", "a bb c d e f g h i kk", "a b bc d e f g h i jj", "X, y; z", "y x"]
+    hit, first, items = decontam.search(*X.column_bytes(pa.array(docs)), tables)
+    assert [np.flatnonzero(hit[a:z]).tolist() for a, z in zip(first[:-1], first[1:])] == [list(range(2, 12)), [], [], [0, 1], []]
+    assert items == {0: {0}, 3: {1}}
+
+
 def test_clean_words_are_skipped():
     """A text without any pair of words from a window is read at a fraction of its positions."""
     import numpy as np
