@@ -48,8 +48,8 @@ class ChunkTokenizer:
     """Token ids of texts through a cache of their blank-separated chunks.
 
     The tokenizer drops white space and never looks across it, so a text's ids
-    are those of its chunks in turn. A chunk in the cache is known by a 64-bit
-    hash. New chunks of plain words go straight to the tokenizer's BPE model,
+    are those of its chunks in turn. A chunk in the cache is found by a 64-bit
+    hash and then compared byte by byte. New chunks of plain words go straight to the tokenizer's BPE model,
     all others through the whole tokenizer. For a tokenizer of another build
     every new chunk goes through the whole of it.
     """
@@ -74,6 +74,9 @@ class ChunkTokenizer:
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.data = np.zeros(0, np.uint8)
+        self.from_ = np.zeros(0, np.int64)
+        self.to = np.zeros(0, np.int64)
 
     def chunk(self, chunk: str) -> list[int]:
         if not self.plain or "<|" in chunk or not _PLAIN.fullmatch(chunk):
@@ -93,8 +96,15 @@ class ChunkTokenizer:
         if not len(starts):
             return np.full(n, END, np.uint32), np.arange(n + 1)
         unique, where, inverse = np.unique(X.hash_spans(raw, starts, ends), return_index=True, return_inverse=True)
-        place = self._places(unique, where, raw, starts, ends)
-        size, at = self.size[place][inverse], self.at[place][inverse]
+        first_of = where[inverse]
+        other = np.flatnonzero(~X.same_spans(raw, starts, ends, raw, starts[first_of], ends[first_of]))
+        at, size = self._found(unique, where, raw, starts, ends)
+        if len(other):
+            # Chunks of an equal hash but other bytes stand for themselves.
+            at_, size_ = self._made(other, raw, starts, ends)
+            inverse[other] = len(where) + np.arange(len(other))
+            at, size = np.concatenate([at, at_]), np.concatenate([size, size_])
+        at, size = at[inverse], size[inverse]
         before = np.concatenate([[0], np.cumsum(size)])
         bounds = before[first] + np.arange(n + 1)
         out = np.full(bounds[-1], END, np.uint32)
@@ -103,29 +113,44 @@ class ChunkTokenizer:
         out[target] = self.ids[source]
         return out, bounds
 
-    def _places(self, unique, where, raw, starts, ends) -> np.ndarray:
-        if len(self.keys) > self.KEEP:
-            self.reset()
-        place = np.searchsorted(self.keys, unique)
-        known = place < len(self.keys)
-        known[known] = self.keys[place[known]] == unique[known]
-        if known.all():
-            return place
-        new, where = unique[~known], where[~known]
+    def _made(self, where: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of chunks that are tokenized now."""
         data = raw.tobytes()
         found = [self.chunk(data[a:z].decode()) for a, z in zip(starts[where].tolist(), ends[where].tolist())]
         size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((t for x in found for t in x), np.uint32, int(size.sum()))
         at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, flat])
-        slot = np.searchsorted(self.keys, new)
-        self.keys, self.at, self.size = np.insert(self.keys, slot, new), np.insert(self.at, slot, at), np.insert(self.size, slot, size)
-        return np.searchsorted(self.keys, unique)
+        self.ids = np.concatenate([self.ids, np.fromiter((t for x in found for t in x), np.uint32, int(size.sum()))])
+        return at, size
+
+    def _found(self, unique: np.ndarray, where: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of chunks by their hashes, from the cache or made and kept there."""
+        if len(self.ids) > 4 * self.KEEP or len(self.keys) > self.KEEP:
+            self.reset()
+        at, size = np.empty(len(unique), np.int64), np.empty(len(unique), np.int64)
+        place = np.searchsorted(self.keys, unique)
+        there = place < len(self.keys)
+        there[there] = self.keys[place[there]] == unique[there]
+        hit, own = np.flatnonzero(there), place[there]
+        same = X.same_spans(raw, starts[where[hit]], ends[where[hit]], self.data, self.from_[own], self.to[own])
+        at[hit], size[hit] = self.at[own], self.size[own]
+        if not same.all():
+            at[hit[~same]], size[hit[~same]] = self._made(where[hit[~same]], raw, starts, ends)
+        new = np.flatnonzero(~there)
+        if len(new):
+            at[new], size[new] = self._made(where[new], raw, starts, ends)
+            a, n = starts[where[new]], (ends - starts)[where[new]]
+            to = len(self.data) + np.cumsum(n)
+            self.data = np.concatenate([self.data, raw[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]])
+            slot = np.searchsorted(self.keys, unique[new])
+            for name, values in (("keys", unique[new]), ("at", at[new]), ("size", size[new]), ("from_", to - n), ("to", to)):
+                setattr(self, name, np.insert(getattr(self, name), slot, values))
+        return at, size
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
 
 
+@X.lean
 def _cut_up(batches: Iterator[pa.RecordBatch], path: str, sequence: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = ChunkTokenizer(path)

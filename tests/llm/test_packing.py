@@ -94,3 +94,17 @@ def test_odd_rows_and_ids(spark):
     for p in got.itertuples():
         assert zlib.crc32(np.array(p.ids, "<u4").tobytes()) == p.ids_crc32
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), Q.tokenizer_path()).count() == 0
+
+
+def test_equal_hashes_are_not_equal_chunks(full, monkeypatch):
+    """Ids stay right if chunks of many kinds share a hash, within a block and in the cache."""
+    import pyarrow as pa
+
+    from lamella.llm import text as X
+
+    monkeypatch.setattr(X, "hash_spans", lambda raw, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    tokenizer = ChunkTokenizer(Q.tokenizer_path())
+    for texts in (TEXTS, ["one two six", "abc def one", "İst x²"], TEXTS):
+        ids, bounds = tokenizer.encode(*X.column_bytes(pa.array(texts)))
+        for n, text in enumerate(texts):
+            assert list(ids[bounds[n] : bounds[n + 1]]) == [*full.encode(text, add_special_tokens=False).ids, 2], text
