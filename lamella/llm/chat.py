@@ -7,9 +7,10 @@ states finds the cheapest repair, and the repaired sequence is rendered.
 
 Costs add up along a conversation, so a stretch of it is a small matrix of least
 costs from state to state, and matrices of successive stretches multiply (least
-sum for product). Conversations are cut into stretches by turn number; every
-stretch's matrix, then the states between stretches, then the steps within them
-are found by stretch, so no task holds a whole conversation.
+sum for product). Conversations are cut into stretches by turn number, and a
+crowded stretch, as of turns that share a number, by a hash of role and text;
+every stretch's matrix, then the states between stretches, then the steps within
+them are found by stretch, so no task holds a whole long conversation.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.session import cut
+from lamella.session import bounded, cut
 
 #: States: nothing yet, or the role of the last turn. A conversation ends with nothing or an assistant turn.
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -171,22 +172,22 @@ def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         known: dict[tuple, list[int]] = {}
         out = []
-        for names in batch.column(2).to_pylist():
+        for names in batch.column(3).to_pylist():
             roles = tuple(role_of(n) for n in names)
             if roles not in known:
                 known[roles] = matrix(list(roles))
             out.append(known[roles])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["conv", "stretch", "costs"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.int64()))], ["conv", "whole", "fine", "costs"])
 
 
 def _joints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for own in batch.column(1).to_pylist():
-            own.sort(key=lambda x: x["stretch"])
+            own.sort(key=lambda x: (x["whole"], x["fine"]))
             at = joints([x["costs"] for x in own])
-            out.append([{"stretch": x["stretch"], "begin": at[n], "end": at[n + 1], "last": n + 1 == len(own)} for n, x in enumerate(own)])
-        kind = pa.list_(pa.struct([("stretch", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("last", pa.bool_())]))
+            out.append([{"whole": x["whole"], "fine": x["fine"], "stretch": n, "begin": at[n], "end": at[n + 1], "last": n + 1 == len(own)} for n, x in enumerate(own)])
+        kind = pa.list_(pa.struct([("whole", pa.int64()), ("fine", pa.int64()), ("stretch", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("last", pa.bool_())]))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["conv", "parts"])
 
 
@@ -211,21 +212,34 @@ def repair_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     are its formatted text. action is keep, relabel, merge (the piece goes on
     within the turn before) or insert (an empty turn; turn and role_in are null).
 
-    Turns come by number; equal numbers by role and text, and turns without one
-    after all others. Repeated rows are turns of their own. Roles are known in any case and
-    with blanks around; others, null among them, must be relabelled or merged. A
-    null text is as an empty one. Rows without a conversation's id are one
-    conversation. The mark "<|" in a text becomes "< |". An empty table gives an
-    empty result. Other columns are ignored, whatever their names.
+    Turns come by number, equal numbers by a hash of role and text, and turns
+    without one after all others. Repeated rows are turns of their own; those
+    that repeat one turn of one conversation are in one stretch. Roles are known
+    in any case and with blanks around; others, null among them, must be
+    relabelled or merged. A null text is as an empty one. Rows without a
+    conversation's id are one conversation. The mark "<|" in a text becomes
+    "< |". An empty table gives an empty result. Other columns are ignored,
+    whatever their names.
     """
     number = F.col(turn_col).cast("long")
-    rows = turns.select(F.col(conv_col).alias("conv"), F.coalesce(F.floor(number / stretch).cast("long"), F.lit(2**62)).alias("stretch"), F.struct(F.coalesce(number, F.lit(2**63 - 1)).alias("at"), F.col(role_col).alias("role"), F.col(text_col).alias("text"), number.alias("turn")).alias("t"))
-    parts = cut(rows.groupBy("conv", "stretch").agg(F.array_sort(F.collect_list("t")).alias("turns")))
+    within = F.pmod(number, F.lit(stretch).cast("long"))
+    # Rounded down, and without overflow at either end.
+    whole = F.when(number >= 0, F.call_function("div", number, F.lit(stretch))).otherwise(-F.call_function("div", -(number + 1), F.lit(stretch)) - 1)
+    # 30 bits of a hash, in whose order turns of equal number come.
+    tie = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))), 34)
+    turn = F.struct(F.coalesce(number, F.lit(2**63 - 1)).alias("at"), tie.alias("tie"), F.col(role_col).alias("role"), F.col(text_col).alias("text"), number.alias("turn"))
+    rows = turns.select(F.col(conv_col).alias("conv"), F.coalesce(whole, F.lit(2**62)).alias("whole"), F.coalesce(within, F.lit(0)).alias("within"), turn.alias("t"))
+    # A crowded stretch is cut finer, by number and then by hash.
+    crowded = cut(rows.groupBy("conv", "whole").count().where(F.col("count") > 4 * stretch).select(F.col("conv").alias("c"), F.col("whole").alias("w"), F.ceil(F.col("count") / stretch).alias("cuts")))
+    rows = rows.join(bounded(crowded), F.col("conv").eqNullSafe(F.col("c")) & (F.col("whole") == F.col("w")), "left")
+    fine = F.coalesce(F.col("within") * F.col("cuts") + F.shiftright(F.col("t.tie") * F.col("cuts"), 30), F.lit(0))
+    parts = cut(rows.withColumn("fine", fine).groupBy("conv", "whole", "fine").agg(F.array_sort(F.collect_list("t")).alias("turns")))
     kind = parts.schema["conv"].dataType.simpleString()
-    costs = parts.select("conv", "stretch", F.col("turns.role").alias("roles")).mapInArrow(_matrices, f"conv {kind}, stretch long, costs array<long>")
-    whole = costs.groupBy("conv").agg(F.collect_list(F.struct("stretch", "costs")).alias("parts"))
-    found = whole.mapInArrow(_joints, f"conv {kind}, parts array<struct<stretch:long,begin:int,end:int,last:boolean>>").select("conv", F.inline("parts"))
-    found = found.select(F.col("conv").alias("c"), F.col("stretch").alias("s"), "begin", "end", "last")
-    ready = parts.join(found, F.col("conv").eqNullSafe(F.col("c")) & (F.col("stretch") == F.col("s"))).select("conv", "stretch", "turns", "begin", "end", "last")
+    costs = parts.select("conv", "whole", "fine", F.col("turns.role").alias("roles")).mapInArrow(_matrices, f"conv {kind}, whole long, fine long, costs array<long>")
+    chains = costs.groupBy("conv").agg(F.collect_list(F.struct("whole", "fine", "costs")).alias("parts"))
+    found = chains.mapInArrow(_joints, f"conv {kind}, parts array<struct<whole:long,fine:long,stretch:long,begin:int,end:int,last:boolean>>").select(F.col("conv").alias("c"), F.inline("parts"))
+    found = found.select("c", F.col("whole").alias("w"), F.col("fine").alias("f"), "stretch", "begin", "end", "last")
+    here = F.col("conv").eqNullSafe(F.col("c")) & (F.col("whole") == F.col("w")) & (F.col("fine") == F.col("f"))
+    ready = parts.join(found, here).select("conv", "stretch", "turns", "begin", "end", "last")
     out = ready.mapInArrow(_rendered, f"conv {kind}, stretch long, pos int, turn long, role_in string, role string, action string, rendered string")
     return out.withColumnRenamed("conv", conv_col)

@@ -91,3 +91,15 @@ def test_odd_rows(spark):
     assert repaired(spark, [r for r in rows if r[0] == 77] or [(9, 0, "user", "t")])[9][0].action == "keep"
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.repair_chats(empty).count() == 0
+
+
+def test_crowded_number(spark):
+    """Turns of one conversation that all share a number, or have none, are still repaired at the least cost."""
+    ship(spark)
+    rng = random.Random(4)
+    rows = [(1, t, rng.choice(["user", "assistant"]), f"a{n}") for n in range(150) for t in (3, None)] + [(1, 0, "user", "first"), (None, None, "user", "x")]
+    got = repaired(spark, rows, stretch=8)
+    turns = [p for p in got[1] if p.turn is not None or p.role_in is not None]
+    assert len(turns) == 301 and [p.turn for p in turns] == [0] + [3] * 150 + [None] * 150
+    assert max(p.stretch for p in got[1]) > 20
+    assert cost_of(got[1]) == least_cost([p.role_in for p in turns])
