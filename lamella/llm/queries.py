@@ -7,12 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import decontam, lines, secrets, topk, toxicity
+from lamella.llm import decontam, lines, neardup, secrets, topk, toxicity, urls
 from lamella.llm.chat import repair_chats
-from lamella.llm.neardup import near_duplicates
 from lamella.llm.packing import pack_documents
 from lamella.llm.sharding import histogram_shards
-from lamella.llm.urls import judge_urls
 from lamella.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,11 +49,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"))
+    return urls.judge_urls(table(spark, sf_dir, "pages")).drop("score")
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,5 +86,7 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": topk.ORACLE,
     "op2_secrets": secrets.ORACLE,
+    "op6_urls": urls.oracle(),
+    "op7_neardup": neardup.ORACLE,
     "op8_decontam": decontam.ORACLE,
 }
