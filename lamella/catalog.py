@@ -76,8 +76,30 @@ def metadata_clean(spark, sf):
 
 @query
 def voxel_size(spark, sf):
-    sizes = fixtures.voxel_size(fixtures.label_voxels(spark, sf))
-    return sizes.select("image", plain(F.col("res_z")).alias("res_z"), plain(F.col("res_x")).alias("res_x"))
+    sizes = extract.voxel_sizes(fixtures.extents(spark, sf))
+    return sizes.select("path", plain(F.col("res_z")).alias("res_z"), plain(F.col("res_x")).alias("res_x"))
+
+
+@query
+def ingest_errors(spark, sf):
+    images, masks = fixtures.image_files(spark)
+    return arrays.ingest_errors(arrays.find_pairs(images.select("path").union(masks.select("path")).distinct()), images, masks)
+
+
+@query
+def first_mesh(spark, sf):
+    """-1 where there is no mesh."""
+    return sampling.first_mesh(*fixtures.meshes(spark, sf), "crop_index").withColumn("ordinal", F.coalesce("ordinal", F.lit(-1).cast("long")))
+
+
+@query
+def index_bounds(spark, sf):
+    return sampling.index_bounds(fixtures.nucleus_slices(spark, sf), "nucleus_id")
+
+
+@query
+def volume_centre(spark, sf):
+    return geometry.volume_centre(fixtures.label_voxels(spark, sf), "image")
 
 
 @query
@@ -218,7 +240,7 @@ def mesh_bounds(spark, sf):
 
 
 def _points(spark):
-    planes = geometry.plane_basis(fixtures.plane_cuts(spark).where("cut in (0, 2)"), *CENTRE)
+    planes = geometry.plane_basis(fixtures.plane_cuts(spark), *CENTRE)
     return slicing.sample_grid(planes, SHAPE)
 
 
@@ -229,7 +251,7 @@ def _image_sums(image: DataFrame, key: str) -> DataFrame:
 
 @query
 def oblique_slice(spark, sf):
-    """Gap-filled volumes cut by two planes."""
+    """Gap-filled volumes cut by all planes."""
     return _image_sums(slicing.oblique_slice(reconstruct.fill_gaps(_raw(spark, sf)), _points(spark), "nucleus_id"), "nucleus_id")
 
 

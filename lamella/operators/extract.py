@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamella.functions.constants import DEPTH, MIN_DEPTH, MIN_SPATIAL
 from lamella.functions.expr import clamp, f32, half_even, to_grey
+from lamella.session import bounded, cut
 
 KEYS = ["image", "label"]
 
@@ -95,10 +96,11 @@ def quantize(volumes: DataFrame) -> DataFrame:
 
 def nuclei(voxels: DataFrame, sizes: DataFrame) -> DataFrame:
     """The whole extraction: grey-level cubes (image, label, z, y, x, p) of all accepted labels."""
-    windows = crop_windows(bounding_boxes(voxels))
-    own = isolate(voxels, windows)
+    windows = cut(crop_windows(bounding_boxes(voxels)))
+    # Written once, as percentiles and values both read them.
+    own = cut(isolate(voxels, windows))
     placed = place_depth(stretch(own, percentiles(own)), sizes)
-    return quantize(merge_depth(zoom(placed, zoom_taps(windows))))
+    return quantize(merge_depth(zoom(placed, bounded(cut(zoom_taps(windows))))))
 
 
 def number_nuclei(accepted: DataFrame) -> DataFrame:

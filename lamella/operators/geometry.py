@@ -56,3 +56,8 @@ def axis_ticks(spark, scales: dict[str, float]) -> DataFrame:
     rows = spark.createDataFrame([(d, s) for d, s in scales.items()], "dataset string, scale double")
     at = F.explode(F.sequence(F.lit(0), F.lit(64), F.lit(16)))
     return rows.select("dataset", "scale", at.alias("tick")).select("dataset", "tick", F.format_string("%.1f", F.col("tick") * F.col("scale")).alias("label"))
+
+
+def volume_centre(voxels: DataFrame, key: str) -> DataFrame:
+    """Half the size of each volume along each axis: (key, cx, cy, cz); a volume ends at its last voxel."""
+    return voxels.groupBy(key).agg(*[((F.max(a) + 1) / 2.0).alias(f"c{a}") for a in "xyz"])

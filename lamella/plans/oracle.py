@@ -10,7 +10,7 @@ import re
 
 from lamella.functions.constants import CLASS_MAP, CORNERS, FACES, MICRONS, UNKNOWN
 from lamella.operators.sampling import bicubic_taps, blur_taps
-from lamella.sources.fixtures import CUTS, DIRTY, PATHS, RAW_CLASSES
+from lamella.sources.fixtures import CUTS, DIRTY, EXTENTS, IMAGES, MASKS, PATHS, RAW_CLASSES
 
 
 def values(rows, columns: str) -> str:
@@ -24,6 +24,11 @@ def r(expr: str, digits: int = 6) -> str:
     return f"round(CAST({expr} AS DOUBLE), {digits}) + 0.0"
 
 
+def _extent(axis: str) -> str:
+    number = lambda c, default: f"coalesce(try_cast({axis}_{c} AS DOUBLE), {default})"
+    return r(f"CASE WHEN known AND {number('size', 1.0)} > 0 THEN ({number('max', 1.0)} - {number('min', 0.0)}) / {number('size', 1.0)} ELSE 1.0 END")
+
+
 def by_slice(table: str, key: str) -> str:
     return f"SELECT {key}, z, count(*) AS voxels, {r('sum(CAST(v AS DOUBLE))', 4)} AS total, {r('max(v)', 5)} AS peak FROM {table} GROUP BY {key}, z"
 
@@ -88,7 +93,7 @@ TABLES = {
     "points": """
   SELECT * FROM (
     SELECT cut, r, c, px + (c - 45) * ux + (r - 45) * vx AS sx, py + (c - 45) * uy + (r - 45) * vy AS sy, pz + (c - 45) * uz + (r - 45) * vz AS sz
-    FROM (SELECT * FROM local_planes WHERE cut IN (0, 2)), range(90) a(r), range(90) b(c))
+    FROM local_planes, range(90) a(r), range(90) b(c))
   WHERE sx BETWEEN 0 AND 7 AND sy BETWEEN 0 AND 7 AND sz BETWEEN 0 AND 63""",
     "taps": """
   SELECT cut, r, c, CAST(floor(sz) AS BIGINT) + dz AS z, CAST(floor(sy) AS BIGINT) + dy AS y, CAST(floor(sx) AS BIGINT) + dx AS x,
@@ -166,7 +171,24 @@ STATEMENTS = {
     "scan_crops": "SELECT crop_index, y, x, p FROM crops",
     "scan_nuclei": "SELECT nucleus_id, z, y, x, p FROM slices",
     "metadata_clean": f"SELECT crop_index, coalesce(mapped, classes) AS cell_class FROM (SELECT TRY_CAST(trim(crop_index) AS INTEGER) AS crop_index, arg_max_null(classes, ordinal) AS classes FROM ({values(DIRTY, 'ordinal, crop_index, classes')}) WHERE TRY_CAST(trim(crop_index) AS INTEGER) IS NOT NULL GROUP BY 1) LEFT JOIN class_map ON raw = classes",
-    "voxel_size": f"SELECT image, {r('res_z')} AS res_z, {r('res_x')} AS res_x FROM sizes",
+    "voxel_size": f"""
+SELECT CAST(image AS VARCHAR) AS path, {r('res_z')} AS res_z, {r('res_x')} AS res_x FROM sizes
+UNION ALL
+SELECT path, {_extent('z')} AS res_z, {_extent('x')} AS res_x FROM ({values(EXTENTS, 'path, known, x_min, x_max, x_size, z_min, z_max, z_size')})""",
+    "ingest_errors": f"""
+SELECT a.path, CASE WHEN a.error IS NOT NULL THEN a.error WHEN b.error IS NOT NULL THEN b.error ELSE 'the mask has another shape' END AS error
+FROM ({values(IMAGES, 'path, d, h, w, error')}) a JOIN ({values(MASKS, 'path, d, h, w, error')}) b ON b.path = replace(a.path, '.ims', '_mask.npy')
+WHERE a.error IS NOT NULL OR b.error IS NOT NULL OR (a.d, a.h, a.w) <> (b.d, b.h, b.w)""",
+    "first_mesh": """
+SELECT vec_id AS crop_index, CASE WHEN vec_id % 5 <> 0 AND (vec_id + vec_id % 3) % 4 <> 0 THEN vec_id % 3 ELSE -1 END AS ordinal,
+       CASE WHEN vec_id % 5 = 0 THEN 'no mesh returned' WHEN (vec_id + vec_id % 3) % 4 = 0 THEN 'mesh extraction unsuccessful' END AS error
+FROM embeddings""",
+    "index_bounds": "SELECT CAST(0 AS BIGINT) AS lo, count(DISTINCT vec_id // 5) - 1 AS hi FROM embeddings",
+    "volume_centre": "SELECT image, (max(x) + 1) / 2.0 AS cx, (max(y) + 1) / 2.0 AS cy, (max(z) + 1) / 2.0 AS cz FROM label_voxels GROUP BY image",
+    "shuffle_batches": """
+SELECT nucleus_id, n // 16 AS batch, CAST(n % 16 AS INTEGER) AS place
+FROM (SELECT nucleus_id, row_number() OVER (ORDER BY md5('1:' || nucleus_id)) - 1 AS n FROM (SELECT DISTINCT vec_id // 5 AS nucleus_id FROM embeddings))""",
+    "random_nucleus": "SELECT nucleus_id FROM (SELECT DISTINCT vec_id // 5 AS nucleus_id FROM embeddings) ORDER BY md5('1:' || nucleus_id) LIMIT 1",
     "file_pairs": f"WITH files AS ({values([(p,) for p in PATHS], 'path')}) SELECT a.path, b.path AS mask_path FROM files a JOIN files b ON a.path LIKE '%.ims' AND b.path = substr(a.path, 1, length(a.path) - 4) || '_mask.npy'",
     "nuclei_count": "SELECT count(DISTINCT nucleus_id) AS nuclei FROM slices",
     "crop_lookup": "SELECT crop_index, y, x, p FROM crops WHERE crop_index = 7",

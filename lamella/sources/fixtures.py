@@ -65,6 +65,38 @@ def voxel_size(voxels: DataFrame) -> DataFrame:
     return voxels.select("image").distinct().select("image", (F.lit(0.15) * ratio).alias("res_z"), F.lit(0.15).alias("res_x"))
 
 
+#: Extent attributes that are odd: unknown, unreadable, empty, no voxels, and well known.
+EXTENTS = [("unknown", False, "0", "9", "3", "0", "9", "3"), ("no text", True, None, None, None, None, None, None), ("words", True, "a", "4", "8", "x", "6", "2"), ("none", True, "0", "9", "0", "0", "9", "-1"), ("plain", True, "1.5", "4", "10", "-2", "2", "16")]
+
+
+def extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extent attributes, as text, of the images of ``label_voxels`` (whose sizes ``voxel_size`` has) and of odd ones."""
+    schema = "path string, known boolean, x_min string, x_max string, x_size string, z_min string, z_max string, z_size string"
+    top = F.element_at(F.array(*map(F.lit, ["0.6", "2.4", "4.8", "9.6"])), F.col("image") % 4 + 1)
+    own = label_voxels(spark, sf_dir).select("image").distinct()
+    text = lambda v, name: F.lit(v).alias(name)
+    own = own.select(F.col("image").cast("string").alias("path"), F.lit(True).alias("known"), text("0", "x_min"), text("9.6", "x_max"), text("64", "x_size"), text("0", "z_min"), top.alias("z_max"), text("16", "z_size"))
+    return own.unionByName(spark.createDataFrame(EXTENTS, schema))
+
+
+#: Image files as (path, depth, height, width, error): two are unreadable, one has a broken mask, one of another shape, one is whole.
+IMAGES = [("a.ims", 4, 8, 8, None), ("b.ims", None, None, None, "truncated file"), ("c.ims", 4, 8, 8, None), ("d.ims", 4, 8, 8, None), ("e.ims", None, None, None, "no such channel")]
+MASKS = [("a_mask.npy", 4, 8, 8, None), ("b_mask.npy", 4, 8, 8, None), ("c_mask.npy", None, None, None, "pickled"), ("d_mask.npy", 4, 8, 9, None), ("e_mask.npy", None, None, None, "empty")]
+
+
+def image_files(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Planes of image files and of masks, without their pixels."""
+    planes = lambda rows: spark.createDataFrame([(*r[:1], z, *r[1:]) for r in rows for z in range(r[1] or 1)], "path string, z int, depth int, height int, width int, error string")
+    return planes(IMAGES), planes(MASKS)
+
+
+def meshes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Model results: crops, and the meshes of some (crop_index, ordinal, success)."""
+    ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("crop_index"))
+    some = ids.where("crop_index % 5 <> 0").withColumn("ordinal", F.explode(F.sequence(F.col("crop_index") % 3, F.lit(3))))
+    return ids, some.withColumn("success", (F.col("crop_index") + F.col("ordinal")) % 4 != 0)
+
+
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda n: F.col("embedding")[n].cast("double")
     return table(spark, sf_dir, "embeddings").select(F.col("label").alias("mesh_id"), F.col("vec_id").alias("vertex_id"), at(0).alias("x"), at(1).alias("y"), at(2).alias("z"), F.abs(at(3)).alias("intensity"))

@@ -1,6 +1,7 @@
 """Operators against plain numpy written from their formulas, on small random volumes."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -239,3 +240,171 @@ def test_rgba(spark):
     assert sampling.rgba(df).first().rgba == [7, 7, 7, 255]
 
 
+
+
+STUB = '''
+import io
+import numpy as np
+
+
+class _Group:
+    def __init__(self, attrs):
+        self.attrs = attrs
+
+
+class File:
+    """Stands for the HDF5 reader: an npz with the data sets and attributes of an image."""
+
+    def __init__(self, file, mode):
+        try:
+            self.own = dict(np.load(io.BytesIO(file.read()), allow_pickle=False))
+        except Exception as error:
+            raise OSError("truncated file") from error
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+    def __getitem__(self, key):
+        return self.own[key]
+
+    def get(self, key):
+        return _Group({k[1:]: [bytes([b]) for b in v] for k, v in self.own.items() if k[0] == "@"}) if "info" in self.own else None
+'''
+
+
+def write_image(path, volume=None, **attributes):
+    key = "DataSet/ResolutionLevel 0/TimePoint 0/Channel 0/Data"
+    own = {f"@{k}": np.frombuffer(v.encode(), np.uint8) for k, v in attributes.items()}
+    if attributes:
+        own["info"] = np.zeros(1)
+    if volume is not None:
+        own[key] = volume
+    with open(path, "wb") as file:
+        np.savez(file, **own)
+
+
+def test_files_to_nuclei(spark, tmp_path):
+    """Pairs of image and mask to cubes; everything that can't be read is reported, the rest goes on."""
+    try:
+        import h5py  # noqa: F401
+
+        pytest.skip("the stub would hide the reader")
+    except ImportError:
+        pass
+    from lamella.session import ship
+
+    ship(spark)
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "lib" / "h5py.py").write_text(STUB)
+    spark.sparkContext.addPyFile(str(tmp_path / "lib" / "h5py.py"))
+    rng = np.random.default_rng(9)
+    root = tmp_path / "data"
+    (root / "deep").mkdir(parents=True)
+    volume = rng.integers(100, 60_000, (6, 40, 44)).astype(np.uint16)
+    mask = np.zeros((6, 40, 44), np.int32)
+    mask[1:5, 5:17, 8:20] = 1
+    mask[0:4, 20:30, 25:36] = 70_000
+    mask[2, 1, 1] = 3
+    known = {"ExtMin0": "0", "ExtMax0": "4.4", "X": "44", "ExtMin2": "0", "ExtMax2": "1.2", "Z": "6"}
+    write_image(root / "good.ims", volume, **known)
+    np.save(root / "good_mask.npy", mask)
+    write_image(root / "deep" / "plain.ims", volume)
+    np.save(root / "deep" / "plain_mask.npy", mask)
+    (root / "broken.ims").write_bytes(b"not a file of this kind")
+    np.save(root / "broken_mask.npy", mask)
+    write_image(root / "empty.ims", None, **known)
+    np.save(root / "empty_mask.npy", mask)
+    write_image(root / "pickled.ims", volume, **known)
+    np.save(root / "pickled_mask.npy", np.array([{"a": 1}], object), allow_pickle=True)
+    write_image(root / "shape.ims", volume, **known)
+    np.save(root / "shape_mask.npy", mask[:, :-1])
+    write_image(root / "alone.ims", volume, **known)
+
+    voxels, sizes, left_out = arrays.ingest(spark, str(root))
+    name = lambda p: p.rsplit("/", 1)[1]
+    assert sorted(name(r.path) for r in arrays.list_files(spark, str(root), "*.ims").collect()) == ["alone.ims", "broken.ims", "empty.ims", "good.ims", "pickled.ims", "plain.ims", "shape.ims"]
+    assert {name(r.path): r.error[:12] for r in left_out.collect()} == {"broken.ims": "truncated fi", "empty.ims": "'DataSet/Res", "pickled.ims": "Object array", "shape.ims": "the mask has"}
+    assert {name(r.image): (round(r.res_z, 9), round(r.res_x, 9)) for r in sizes.collect() if name(r.image) in ("good.ims", "plain.ims")} == {"good.ims": (0.2, 0.1), "plain.ims": (1.0, 1.0)}
+    got = {(name(r.image), r.label, r.z, r.y, r.x): r.i for r in voxels.collect()}
+    want = {(f, int(mask[p]), *map(int, p)): int(volume[p]) for f in ("good.ims", "plain.ims") for p in zip(*np.nonzero(mask))}
+    assert got == want
+    cubes = extract.nuclei(voxels, sizes).groupBy("image", "label").agg(F.count("*").alias("n"), F.max("p").alias("p")).collect()
+    assert sorted((name(r.image), r.label) for r in cubes) == [(f, n) for f in ("good.ims", "plain.ims") for n in (1, 70_000)]
+    assert all(r.n > 500 and r.p > 200 for r in cubes), cubes
+
+
+def test_kinds_of_arrays(spark, tmp_path):
+    volume = np.linspace(0, 1, 24).reshape(2, 3, 4).astype(np.float32)
+    np.save(tmp_path / "v.npy", volume)
+    (failed,) = arrays.errors(arrays.read_npy(spark, str(tmp_path), "volume")).collect()
+    assert "fractions" in failed.error
+    planes = arrays.good(arrays.read_npy(spark, str(tmp_path), "volume", floats=True))
+    got = {(r.item, r.z, r.y, r.x): r.p for r in arrays.pixels(planes, "float").collect()}
+    assert got == {(0, z, y, x): float(volume[z, y, x]) for z, y, x in np.ndindex(volume.shape)}
+    crops = arrays.good(arrays.read_npy(spark, str(tmp_path), floats=True)).collect()
+    assert sorted((r.item, r.z, r.depth) for r in crops) == [(0, 0, 1), (1, 0, 1)]
+
+
+def test_metadata_of_several_files(spark, tmp_path):
+    """The last line wins, in the order of files and lines, however Spark splits them."""
+    (tmp_path / "a.csv").write_text("classes,crop_index\nB cells,1\n" + "nerves,2\n" * 2000)
+    (tmp_path / "b.csv").write_text("crop_index,classes\n1,stroma\n1,tumor cells\n")
+    clean = labels.clean_metadata(arrays.read_metadata(spark, str(tmp_path)))
+    assert {(r.crop_index, r.classes) for r in clean.collect()} == {(1, "tumor cells"), (2, "nerves")}
+
+
+def test_reconstruction_by_dataset(spark):
+    rng = np.random.default_rng(2)
+    crop = rng.integers(0, 256, (3, 4))
+    crops = spark.createDataFrame([(5, y, x, int(crop[y, x])) for y, x in np.ndindex(crop.shape)], "crop_index long, y int, x int, p int")
+    for mode in (GAUSSIAN, LINEAR):
+        a = explorer.reconstruction("CODEX", crops, mode).collect()
+        assert sorted(a) == sorted(reconstruct.extrude(crops, mode, sparse=True).collect()) and a
+    stored = spark.createDataFrame([(5, 1, 2, 3, 0.5)], "nucleus_id long, z int, y int, x int, v float")
+    assert explorer.reconstruction("CODEX", crops, "IA", ai=stored).where("v > 0").count() == 1
+    with pytest.raises(ValueError):
+        explorer.reconstruction("CODEX", crops, "IA")
+    with pytest.raises(ValueError):
+        explorer.reconstruction("ELSE", crops)
+    unknown = reconstruct.extrude(crops, "ELSE")
+    assert unknown.count() == 64 * crop.size and unknown.where("v <> 0").count() == 0
+    slices = spark.createDataFrame([(1, z, 0, 0, p) for z, p in ((0, 100), (4, 200))], "nucleus_id long, z int, y int, x int, p int")
+    plain = {r.z: r.v for r in explorer.reconstruction("RESTORE", slices).collect()}
+    filled = {r.z: r.v for r in explorer.reconstruction("RESTORE", slices, LINEAR).collect() if r.v > 0}
+    assert sorted(plain) == [0, 4] and sorted(filled) == [0, 1, 2, 3, 4]
+
+
+def test_model_failures_and_lazy_models(spark, tmp_path):
+    from lamella.session import ship
+
+    ship(spark)
+    crops = spark.createDataFrame([(i, y, x, 10 * i + y + x) for i in range(4) for y in range(3) for x in range(3)], "crop_index long, y int, x int, p int")
+    log = str(tmp_path / "made")
+
+    def make():
+        with open(log, "a") as file:
+            file.write(f"{os.getpid()}\n")
+        return lambda image, mask: np.ones((2, 2, 2))
+
+    got = sampling.run_model(crops, sampling.Lazy("test", make), failures=True).collect()
+    assert len(got) == 4 * 8 and all(r.error is None and r.v == 1.0 for r in got)
+    with open(log) as file:
+        made = file.read().split()
+    assert made and len(made) == len(set(made))
+
+    def broken(image, mask):
+        raise ValueError("no surface")
+
+    failed = sampling.run_model(crops, broken, failures=True).collect()
+    assert sorted((r.crop_index, r.error) for r in failed) == [(i, "ValueError: no surface") for i in range(4)]
+
+
+def test_batches_are_exact(spark):
+    ids = spark.range(103).withColumnRenamed("id", "nucleus_id")
+    got = sampling.batches(ids, "nucleus_id", 10, 3).collect()
+    assert sorted((r.batch, r.place) for r in got) == [(n // 10, n % 10) for n in range(103)] and len({r.nucleus_id for r in got}) == 103
+    other = {(r.nucleus_id, r.batch) for r in sampling.batches(ids, "nucleus_id", 10, 4).collect()}
+    assert other != {(r.nucleus_id, r.batch) for r in got}
