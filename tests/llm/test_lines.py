@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lamella.llm import lines
@@ -68,3 +69,18 @@ def test_odd_rows(spark):
     assert lines.line_report(df.limit(0)).count() == 0
     texts = sorted((str(r.doc_id), r.text) for r in lines.drop_lines(df, lines.duplicate_lines(df)).collect() if r.doc_id == 5)
     assert texts == [("5", ""), ("5", rows[-1][1].split("\n")[0])]
+
+
+def test_recall_of_bands_at_the_threshold():
+    """Lines of similarity 0.8 meet in a band with the stated probability, 0.995; what is measured is the operator's own loss."""
+    rng = np.random.default_rng(12)
+    met, size, apart = [], 180, 20
+    for _ in range(40):
+        rows = []
+        for _ in range(100):
+            both = rng.integers(0, 2**63, size + apart, dtype=np.uint64)
+            rows += [both[:size], both[apart:]]
+        bands = lines._banded(np.concatenate(rows), np.arange(201) * size)
+        met += (bands[::2] == bands[1::2]).any(1).tolist()
+    assert (size - apart) / (size + apart) == 0.8
+    assert np.mean(met) >= 0.99
