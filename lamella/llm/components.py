@@ -59,10 +59,11 @@ def components(links: DataFrame) -> DataFrame | None:
         whole = longer
     nodes = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     out = cut(nodes.join(whole, "node", "left").select(F.col("node.id").alias("node"), F.coalesce("root", "node").alias("root")), few=True)
-    least = out.groupBy("root").agg(F.min("node").alias("least"))
-    out = cut(out.join(least, "root").select("node", F.col("least").alias("root")), few=True)
-    drop(first, whole, *hooks)
-    return out
+    # Written before it is joined, so that the members of a large component needn't meet in one task.
+    least = cut(out.groupBy("root").agg(F.min("node").alias("least")), few=True)
+    named = cut(out.join(bounded(least), "root").select("node", F.col("least").alias("root")), few=True)
+    drop(first, whole, out, least, *hooks)
+    return named
 
 
 def united(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:

@@ -251,8 +251,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     many = classes.where("lines > 1").select("h1", "h2", "first")
     if roots is not None:
         linked = classes.join(bounded(roots), "node").select("h1", "h2", "first", "root")
-        best = linked.groupBy("root").agg(F.min("first").alias("best"))
-        joined = cut(linked.join(best, "root").select("h1", "h2", F.col("best").alias("first")))
+        best = cut(linked.groupBy("root").agg(F.min("first").alias("best")), few=True)
+        joined = cut(linked.join(bounded(best), "root").select("h1", "h2", F.col("best").alias("first")))
         many = cut(joined.unionByName(many.join(bounded(joined.select("h1", "h2")), ["h1", "h2"], "left_anti")))
     gone = signed.select(*here, "h1", "h2").join(bounded(many), ["h1", "h2"]).where(F.struct(*here) != F.col("first"))
     return gone.groupBy("id", "mark").agg(F.collect_set("place").alias("places"))
@@ -284,3 +284,25 @@ def drop_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_co
     schema = T.StructType([T.StructField("__text", T.StringType()), *[docs.schema[c] for c in others]])
     out = joined.select(F.col(text_col), "__places", *others).mapInArrow(_rebuilt, schema)
     return out.withColumnRenamed("__text", text_col).select(*docs.columns)
+
+
+#: Exact: two sets of similarity 0.8 share one of the rarest shingles of either, as many as a fifth of its size and one.
+ORACLE = r"""
+WITH RECURSIVE split AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+placed AS (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS place FROM split),
+lines AS (SELECT doc_id, place, translate(trim(line, ' ' || chr(9) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line FROM placed),
+classes AS (SELECT line, row_number() OVER (ORDER BY first) AS c FROM (SELECT line, min((doc_id, place)) AS first FROM lines WHERE line <> '' GROUP BY line)),
+shingles AS (SELECT DISTINCT c, substr(line, CAST(i AS BIGINT), 8) AS s FROM (SELECT c, line, unnest(range(1, length(line) - 6)) AS i FROM classes WHERE length(line) >= 8)),
+ranked AS (SELECT c, s, count(*) OVER (PARTITION BY c) AS n, row_number() OVER (PARTITION BY c ORDER BY f, s) AS p FROM shingles JOIN (SELECT s, count(*) AS f FROM shingles GROUP BY s) USING (s)),
+starts AS (SELECT c, s, n FROM ranked WHERE p <= n - ceil(n * 0.8) + 1),
+maybe AS (SELECT DISTINCT x.c AS a, y.c AS b, x.n AS na, y.n AS nb FROM starts x JOIN starts y ON x.s = y.s AND x.c < y.c AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
+common AS (SELECT a, b, na, nb, count(*) AS k FROM maybe JOIN shingles x ON x.c = a JOIN shingles y ON y.c = b AND y.s = x.s GROUP BY a, b, na, nb),
+steps AS (SELECT a, b FROM common WHERE 100 * k >= 80 * (na + nb - k)),
+both_ways AS (SELECT a, b FROM steps UNION ALL SELECT b, a FROM steps),
+reached AS (SELECT c, c AS other FROM classes UNION SELECT reached.c, both_ways.b FROM reached JOIN both_ways ON both_ways.a = reached.other),
+roots AS (SELECT c, min(other) AS root FROM reached GROUP BY c),
+first AS (SELECT root, min((doc_id, place)) AS kept FROM lines JOIN classes USING (line) JOIN roots USING (c) GROUP BY root),
+gone AS (SELECT doc_id, count(*) AS n, string_agg(CAST(place AS VARCHAR), ',' ORDER BY place) AS places FROM lines JOIN classes USING (line) JOIN roots USING (c) JOIN first USING (root) WHERE (doc_id, place) <> kept GROUP BY doc_id)
+SELECT doc_id, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 AS n_lines, coalesce(n, 0) AS n_dropped, coalesce(places, '') AS dropped
+FROM documents LEFT JOIN gone USING (doc_id)
+"""

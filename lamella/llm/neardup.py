@@ -106,8 +106,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int,
     named = classes.select("h1", "h2", "first")
     if roots is not None:
         linked = classes.select("h1", "h2", "first", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        least = linked.groupBy("root").agg(F.min("first").alias("least"))
-        named = cut(linked.join(least, "root").select("h1", "h2", F.col("least").alias("first")))
+        least = cut(linked.groupBy("root").agg(F.min("first").alias("least")))
+        named = cut(linked.join(bounded(least), "root").select("h1", "h2", F.col("least").alias("first")))
     return signed.select("id", "mark", "n_shingles", "h1", "h2"), named
 
 

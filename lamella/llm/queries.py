@@ -33,7 +33,8 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_report(table(spark, sf_dir, "documents"))
+    found = lines.line_report(table(spark, sf_dir, "documents"))
+    return found.withColumn("dropped", F.array_join(F.col("dropped").cast("array<string>"), ","))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +87,7 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": topk.ORACLE,
     "op2_secrets": secrets.ORACLE,
+    "op3_linededup": lines.ORACLE,
     "op6_urls": urls.oracle(),
     "op7_neardup": neardup.ORACLE,
     "op8_decontam": decontam.ORACLE,
