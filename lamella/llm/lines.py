@@ -164,28 +164,29 @@ def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 @X.lean
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of lines (la, lb) whose sets of shingles are similar enough."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        # A line's set is made once a batch, of numbers from 0 for the shingles that occur in it.
-        both = np.concatenate([np.asarray(batch.column(0)), np.asarray(batch.column(1))])
-        _, first, number = np.unique(both, return_index=True, return_inverse=True)
-        codes, bounds = _codes(pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(first)))
-        items, at = X.distinct_by_row(*_shingled(codes, bounds[:-1], bounds[1:]))
-        names, items = np.unique(items, return_inverse=True)
-        size, (one, two) = np.diff(at), np.split(number, 2)
-        common, mark = np.empty(batch.num_rows, np.int64), np.zeros(len(names), bool)
-        order = np.argsort(two, kind="stable")
-        edges = np.flatnonzero(np.diff(two[order], prepend=-1, append=-1))
-        for s, e in zip(edges[:-1], edges[1:]):
-            pivot, rows = two[order[s]], order[s:e]
-            mark[items[at[pivot] : at[pivot + 1]]] = True
-            many = size[one[rows]]
-            to = np.cumsum(many) - many
-            where = np.repeat(at[one[rows]] - to, many) + np.arange(many.sum())
-            common[rows] = np.add.reduceat(mark[items[where]], to, dtype=np.int64)
-            mark[items[at[pivot] : at[pivot + 1]]] = False
-        yield batch.select([0, 1]).filter(pa.array(100 * common >= percent * (size[one] + size[two] - common)))
+    for whole in batches:
+        sizes = [X.column_bytes(whole.column(c))[1] for c in (2, 3)]
+        for i, j in X.blocks(sizes[0] + sizes[1]):
+            batch = whole.slice(i, j - i)
+            # A line's set is made once a block, of numbers from 0 for the shingles that occur in it.
+            both = np.concatenate([np.asarray(batch.column(0)), np.asarray(batch.column(1))])
+            _, first, number = np.unique(both, return_index=True, return_inverse=True)
+            codes, bounds = _codes(pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(first)))
+            items, at = X.distinct_by_row(*_shingled(codes, bounds[:-1], bounds[1:]))
+            names, items = np.unique(items, return_inverse=True)
+            size, (one, two) = np.diff(at), np.split(number, 2)
+            common, mark = np.empty(batch.num_rows, np.int64), np.zeros(len(names), bool)
+            order = np.argsort(two, kind="stable")
+            edges = np.flatnonzero(np.diff(two[order], prepend=-1, append=-1))
+            for s, e in zip(edges[:-1], edges[1:]):
+                pivot, rows = two[order[s]], order[s:e]
+                mark[items[at[pivot] : at[pivot + 1]]] = True
+                many = size[one[rows]]
+                to = np.cumsum(many) - many
+                where = np.repeat(at[one[rows]] - to, many) + np.arange(many.sum())
+                common[rows] = np.add.reduceat(mark[items[where]], to, dtype=np.int64)
+                mark[items[at[pivot] : at[pivot + 1]]] = False
+            yield batch.select([0, 1]).filter(pa.array(100 * common >= percent * (size[one] + size[two] - common)))
 
 
 def _similar_lines(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
