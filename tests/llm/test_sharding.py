@@ -60,3 +60,21 @@ def test_odd_rows(spark, shards):
 
 def test_empty(spark):
     assert histogram_shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_cuts_against_a_full_sort(spark):
+    """Shards are ranges of the sorted keys; each cut is where the full running sum says, within tolerance or one row."""
+    ship(spark)
+    from lamella.llm.sharding import text_key
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    keys = docs.select("doc_id", text_key(F.coalesce("text", F.lit(""))).alias("k1"), F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("k2")).toPandas()
+    got = histogram_shards(docs, 40, tolerance=0.01).select("doc_id", "size", "shard").toPandas().merge(keys, on="doc_id").sort_values(["k1", "k2"])
+    shard, size = got["shard"].to_numpy(), got["size"].to_numpy()
+    assert (shard[1:] >= shard[:-1]).all()
+    below = size.cumsum()
+    for cut in range(1, 40):
+        at = int((shard < cut).sum())
+        bytes_below = below[at - 1] if at else 0
+        near = size[max(at - 1, 0) : at + 1].max()
+        assert abs(bytes_below - below[-1] * cut / 40) <= max(0.01 * below[-1] / 40, near)
