@@ -54,7 +54,8 @@ class ChunkTokenizer:
     every new chunk goes through the whole of it.
     """
 
-    KEEP = 1_000_000
+    #: Chunks kept, about 60 bytes each; the cache starts anew beyond.
+    KEEP = 1 << 18
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

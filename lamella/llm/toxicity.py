@@ -411,23 +411,30 @@ def _weigh_stems(shared):
         for raw, starts, ends, first, labels in _per_block(batches):
             hasher = X.span_hasher(raw)
             whole = hasher(starts, ends)
-            out = {}
+            found = []
             for own, to, length in _stem_spans(raw, starts, ends):
                 keys = hasher(starts[own], to) ^ X.U(length == 0)
                 hit = maybe[(keys % X.U(FILTER_BITS)).astype(np.int64)]
                 own, to, keys = own[hit], to[hit], keys[hit]
                 rows = np.searchsorted(first, own, "right") - 1
                 before = np.where(own > first[rows], whole[np.maximum(own - 1, 0)], X.U(0))
-                for k, r, b, s, e in zip(keys.tolist(), rows.tolist(), before.tolist(), starts[own].tolist(), to.tolist()):
-                    docs, clean, contexts, _, _ = out.setdefault(k, (set(), set(), set(), bytes(raw[s:e]), length == 0))
-                    (docs if labels[r] else clean).add(r)
-                    # New contexts tell a word from a copied phrase.
-                    if labels[r]:
-                        contexts.add(b)
-            signed = np.array(list(out), np.uint64).view(np.int64)
-            v = list(out.values())
-            contexts = pa.array([np.array(sorted(x[2]), np.uint64).view(np.int64) for x in v], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(signed), pa.array([x[3] for x in v], pa.binary()), pa.array([x[4] for x in v], pa.bool_()), pa.array([len(x[0]) for x in v], pa.int64()), pa.array([len(x[1]) for x in v], pa.int64()), contexts], ["stem", "word", "whole", "toxic", "clean", "contexts"])
+                found.append((keys, rows, before, starts[own], to, np.full(len(own), length == 0)))
+            keys, rows, before, s, e, entire = map(np.concatenate, zip(*found))
+            stems, at, number = np.unique(keys, return_index=True, return_inverse=True)
+            n = len(stems)
+            # Documents of a stem, and the words before it in toxic ones, without repeats.
+            docs = np.unique(number * (len(labels) + 1) + rows)
+            toxic = labels[docs % (len(labels) + 1)] == 1
+            docs = docs // (len(labels) + 1)
+            bad = labels[rows] == 1
+            order = np.lexsort((before[bad], number[bad]))
+            stem, word = number[bad][order], before[bad][order]
+            fresh = np.ones(len(stem), bool)
+            fresh[1:] = (stem[1:] != stem[:-1]) | (word[1:] != word[:-1])
+            stem, word = stem[fresh], word[fresh]
+            contexts = X.long_lists(word, np.concatenate([[0], np.cumsum(np.bincount(stem, minlength=n))]))
+            words = pa.array([raw[x:y].tobytes() for x, y in zip(s[at].tolist(), e[at].tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(stems.view(np.int64)), words, pa.array(entire[at]), pa.array(np.bincount(docs[toxic], minlength=n)), pa.array(np.bincount(docs[~toxic], minlength=n)), contexts], ["stem", "word", "whole", "toxic", "clean", "contexts"])
 
     return run
 
