@@ -27,7 +27,7 @@ def broadcast_rows(df):
     return found
 
 
-@pytest.mark.parametrize("name", ["center_paste", "label_isolate", "nuclei_per_image", "nucleus_ids", "nucleus_normalize", "nucleus_percentiles", "xy_zoom"])
+@pytest.mark.parametrize("name", ["center_paste", "label_isolate", "nuclei_per_image", "nucleus_ids", "nucleus_normalize", "nucleus_percentiles", "xy_zoom", "z_place"])
 def test_voxels_are_not_broadcast(spark, name):
     """25,570 voxels belong to the 60 nuclei of this size; the taps, the largest constant table, have 896 rows at most."""
     assert max(broadcast_rows(catalog.QUERIES[name](spark, SF)), default=0) < 1000
