@@ -25,6 +25,8 @@ from lamella.session import bounded, cut, release
 
 #: Code points of a shingle, bands, MinHashes of a band. At a similarity of 0.8 a pair meets with probability 0.995.
 SHINGLE, BANDS, DEPTH = 8, 10, 4
+#: Bytes handled at once; arrays of eight bytes each then are small enough to be reused by the allocator.
+BLOCK = 1 << 17
 #: Sketch words of 64 bits.
 WORDS = 16
 _RNG = np.random.default_rng(77)
@@ -102,11 +104,14 @@ def _shingled(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 def _banded(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A key of each line and band; no line is without shingles."""
     small = (values >> X.U(32)).astype(np.uint32)
+    hashed = np.empty_like(small)
     out = np.empty((len(bounds) - 1, BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(len(bounds) - 1, b, np.uint64)
         for m in range(b * DEPTH, (b + 1) * DEPTH):
-            key = X.mix(key * X.U(0x9E3779B97F4A7C15) + np.minimum.reduceat(small * _A[m] + _B[m], bounds[:-1]))
+            np.multiply(small, _A[m], out=hashed)
+            np.add(hashed, _B[m], out=hashed)
+            key = X.mix(key * X.U(0x9E3779B97F4A7C15) + np.minimum.reduceat(hashed, bounds[:-1]))
         out[:, b] = key
     return out
 
@@ -115,7 +120,7 @@ def _banded(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def _signed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw_all, offsets_all = X.column_bytes(batch.column(1))
-        for i, j in X.blocks(offsets_all):
+        for i, j in X.blocks(offsets_all, BLOCK):
             raw, offsets = raw_all[offsets_all[i] : offsets_all[j]], offsets_all[i : j + 1] - offsets_all[i]
             low, rows, place, starts, ends, own = _own_lines(raw, offsets, least)
             if not len(own):
@@ -134,7 +139,7 @@ def _texts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
     """The lines asked for, without blanks and in lower case, with the sizes and sketches of their sets and their bands: columns id, text, places and nodes."""
     for batch in batches:
         raw_all, offsets_all = X.column_bytes(batch.column(1))
-        for i, j in X.blocks(offsets_all):
+        for i, j in X.blocks(offsets_all, BLOCK):
             raw, offsets = raw_all[offsets_all[i] : offsets_all[j]], offsets_all[i : j + 1] - offsets_all[i]
             low, rows, place, starts, ends, own = _own_lines(raw, offsets, least)
             places, nodes = (batch.column(c).slice(i, j - i) for c in (2, 3))
